@@ -123,7 +123,7 @@ def _formatted_sales(book: Ledger) -> DataFrame:
 
 
 def _coerced(book: Ledger) -> DataFrame:
-    """``order_id`` is all digits and becomes a number, ``phone`` and ``area_code`` do not."""
+    """``order_id`` is all digits and becomes a number, ``store`` stays text."""
     ids = coerce_numeric(book.sales.select("order_id", "store"))
     return ids.groupBy("store").agg(
         F.sum("order_id").alias("id_sum"), F.max("order_id").alias("id_max")

@@ -49,8 +49,8 @@ def new_vs_returning(ledger: Ledger, period: Period, channel: Channel | None = N
         .filter("in_period")
         .agg(
             F.count("*").alias("total"),
-            F.count_if(period.contains(first)).alias("new"),
-            F.count_if(first < F.lit(period.start)).alias("returning"),
+            F.count_if(period.contains(first)).alias("new_customers"),
+            F.count_if(first < F.lit(period.start)).alias("returning_customers"),
         )
     )
 
@@ -61,8 +61,8 @@ def new_vs_returning_shares(
     """:func:`new_vs_returning` with both groups in percent of the total."""
     return new_vs_returning(ledger, period, channel).withColumns(
         {
-            "new_share": percent(F.col("new"), F.col("total")),
-            "returning_share": percent(F.col("returning"), F.col("total")),
+            "new_share": percent(F.col("new_customers"), F.col("total")),
+            "returning_share": percent(F.col("returning_customers"), F.col("total")),
         }
     )
 

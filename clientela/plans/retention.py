@@ -26,15 +26,13 @@ def cohort_retention(ledger: Ledger, period: Period) -> DataFrame:
     """
     last = period.months - 1
     index = _month_index(F.col("day"), period)
-    lows = range(0, period.months, _BITS)
     words, bought = [], F.lit(False)
-    for low in lows:
+    for low in range(0, period.months, _BITS):
         here = index.between(low, low + _BITS - 1)
         bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), index - low)
         words.append(F.bit_or(F.when(here, bit)).alias(f"w{low}"))
-    for low in reversed(lows):
-        bit = F.getbit(F.coalesce(F.col(f"w{low}"), F.lit(0)), F.col("month") - low) == 1
-        bought = F.when(F.col("month") >= low, bit).otherwise(bought)
+        is_set = F.getbit(F.col(f"w{low}"), F.col("month") - low) == 1
+        bought = F.when(F.col("month") >= low, is_set).otherwise(bought)
     counts = (
         ledger.orders(period)
         .groupBy("customer_id")
@@ -102,10 +100,10 @@ def period_buyers_new_vs_returning(ledger: Ledger, period: Period) -> DataFrame:
             F.count_if(F.col("pairs") > 0).alias("buyers"),
             F.coalesce(
                 F.sum(F.when(F.col("first_purchase") >= start, F.col("pairs"))), F.lit(0)
-            ).alias("new"),
+            ).alias("new_customers"),
             F.coalesce(
                 F.sum(F.when(F.col("first_purchase") < start, F.col("pairs"))), F.lit(0)
-            ).alias("returning"),
+            ).alias("returning_customers"),
         )
     )
 
@@ -114,8 +112,8 @@ def period_buyers_shares(ledger: Ledger, period: Period) -> DataFrame:
     """:func:`period_buyers_new_vs_returning` in percent of the buyers; may exceed 100 in sum."""
     return period_buyers_new_vs_returning(ledger, period).withColumns(
         {
-            "new_share": percent(F.col("new"), F.col("buyers")),
-            "returning_share": percent(F.col("returning"), F.col("buyers")),
+            "new_share": percent(F.col("new_customers"), F.col("buyers")),
+            "returning_share": percent(F.col("returning_customers"), F.col("buyers")),
         }
     )
 
@@ -130,8 +128,8 @@ def new_vs_returning_by_store(ledger: Ledger, period: Period) -> DataFrame:
         .filter("in_period")
         .groupBy("store")
         .agg(
-            F.count_if(F.col("first_purchase") >= start).alias("new"),
-            F.count_if(F.col("first_purchase") < start).alias("returning"),
+            F.count_if(F.col("first_purchase") >= start).alias("new_customers"),
+            F.count_if(F.col("first_purchase") < start).alias("returning_customers"),
             F.count("*").alias("total"),
         )
         .orderBy(F.desc("total"), "store")
@@ -140,8 +138,8 @@ def new_vs_returning_by_store(ledger: Ledger, period: Period) -> DataFrame:
 
 def new_vs_returning_by_store_long(by_store: DataFrame) -> DataFrame:
     """:func:`new_vs_returning_by_store` with one row per store and kind."""
-    long = by_store.unpivot("store", ["new", "returning"], "column", "customers")
-    kind = F.when(F.col("column") == "new", "Novas").otherwise("Recorrentes")
+    long = by_store.unpivot("store", ["new_customers", "returning_customers"], "column", "customers")
+    kind = F.when(F.col("column") == "new_customers", "Novas").otherwise("Recorrentes")
     return long.select("store", kind.alias("kind"), "customers")
 
 
