@@ -54,6 +54,10 @@ def _scores(book: Ledger) -> DataFrame:
     return rfm.rfm_scores(book, AS_OF, ordered=False)
 
 
+def _scored(book: Ledger) -> DataFrame:
+    return rfm.scored_customers(book, AS_OF)
+
+
 def _base(book: Ledger) -> DataFrame:
     return customers.customer_base(book, YEAR, AS_OF, ordered=False)
 
@@ -144,14 +148,14 @@ QUERIES: dict[str, Query] = {
     "payment_mix": _on(lambda b: overview.payment_mix(b, YEAR)),
     "rfm_scores": _on(lambda b: rfm.rfm_scores(b, AS_OF)),
     "rfm_scores_online": _on(lambda b: rfm.rfm_scores(b, AS_OF, ONLINE)),
-    "rfm_segment_summary": _on(lambda b: rfm.rfm_segment_summary(_scores(b))),
-    "rfm_headline": _on(lambda b: rfm.rfm_headline(_scores(b))),
+    "rfm_segment_summary": _on(lambda b: rfm.rfm_segment_summary(_scored(b))),
+    "rfm_headline": _on(lambda b: rfm.rfm_headline(_scored(b))),
     "rfm_sample": _on(lambda b: rfm.rfm_sample(_scores(b), n=500, seed=3)),
     "segment_members": _on(lambda b: rfm.segment_members(_scores(b), "At Risk")),
     "segment_members_headings": _on(
         lambda b: with_headings(rfm.segment_members(_scores(b), "Champions"), K.SEGMENT_HEADINGS)
     ),
-    "segment_names": _on(lambda b: rfm.segment_names(_scores(b))),
+    "segment_names": _on(lambda b: rfm.segment_names(_scored(b))),
     "cohort_retention": _on(lambda b: retention.cohort_retention(b, MID_MONTH)),
     "cohort_retention_long": _on(lambda b: retention.cohort_retention(b, LONG)),
     "cohort_matrix": _on(

@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clientela.operators.durable import durable
 from clientela.params import Channel, Period, Rules
 
 # a key list is broadcast only after its rows and bytes were counted and found within these
@@ -20,8 +21,8 @@ DROP, KEEP, AS_NOT_IN = "drop", "keep", "as_not_in"
 class Ledger:
     """Customers, sales, items and payments of one retailer.
 
-    The shop's own entries among the customers are counted once per ledger; everything else is
-    lazy, so a product reads only the columns and rows it needs.
+    Own shops among the customers are looked up when the first product needs them; everything
+    else is lazy, so a product reads only the columns and rows it needs.
     """
 
     def __init__(
@@ -42,10 +43,14 @@ class Ledger:
 
     @cached_property
     def own_shops(self) -> DataFrame:
-        """Ids of customers that are really the retailer's own shops."""
+        """Ids of customers that are really the retailer's own shops, found once per ledger.
+
+        Written down, so that no product has to read the customer table for them again.
+        """
         name = F.upper(F.coalesce("full_name", F.lit("")))
         matches = reduce(or_, (name.like(p) for p in self.rules.own_shop_patterns), F.lit(False))
-        return self.customers.filter(F.col("customer_id").isNotNull() & matches).select("customer_id")
+        found = self.customers.filter(F.col("customer_id").isNotNull() & matches)
+        return durable(found.select("customer_id").distinct())
 
     @cached_property
     def _own_shops_size(self) -> tuple[int, int]:
@@ -89,7 +94,7 @@ class Ledger:
         # beyond the bound both sides are shuffled by id. Sales without id match nothing and
         # would meet in one task, so they bypass the join
         known = sales.filter(F.col("customer_id").isNotNull())
-        kept = known.join(self.own_shops.distinct(), "customer_id", "left_anti")
+        kept = known.join(self.own_shops, "customer_id", "left_anti")
         if anonymous == DROP:
             return kept
         return kept.unionByName(sales.filter(F.col("customer_id").isNull()))

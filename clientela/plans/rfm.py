@@ -28,6 +28,7 @@ def scored_customers(
 ) -> DataFrame:
     """Metrics, tiles and segment per customer, without contact data.
 
+    Enough for the summary, the headline and the segment names, which then need no join.
     Metrics are written once, since they are counted, sorted three ways and read for the result.
     Ties between customers go by id.
     """
@@ -54,8 +55,10 @@ def scored_customers(
         single_task_rows,
     )
     r, f, m = F.col("r"), F.col("f"), F.col("m")
+    ticket_cents = rounded_ratio("cast(value * 100 as bigint)", "frequency").cast("decimal(20,0)")
     return tiled.withColumns(
         {
+            "ticket_per_order": (ticket_cents * Decimal("0.01")).cast("decimal(20,2)"),
             "rfm_code": F.concat(*(c.cast("string") for c in (r, f, m))),
             "segment": rfm_segment(r, f, m),
         }
@@ -71,12 +74,7 @@ def rfm_scores(
     ordered: bool = True,
 ) -> DataFrame:
     """Scores with contact data, best customers first. Customers without contact data stay."""
-    cents = rounded_ratio("_cents", "frequency").cast("decimal(20,0)")
-    scores = (
-        scored_customers(ledger, as_of, channel, tiles, single_task_rows)
-        .withColumn("_cents", (F.col("value") * 100).cast("bigint"))
-        .withColumn("ticket_per_order", (cents * Decimal("0.01")).cast("decimal(20,2)"))
-    )
+    scores = scored_customers(ledger, as_of, channel, tiles, single_task_rows)
     contacts = ledger.customers.select(
         "customer_id", "full_name", "email", "area_code", "phone", "birth_date"
     )
