@@ -9,12 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientela.operators.durable import durable
+from clientela.operators.sizes import BROADCAST_ROWS, key_list_size, may_broadcast
 from clientela.params import Channel, Period, Rules
 
-# a key list is broadcast only after its rows and bytes were counted and found within these
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 8 << 20
-
 DROP, KEEP, AS_NOT_IN = "drop", "keep", "as_not_in"
 
 
@@ -54,13 +51,7 @@ class Ledger:
 
     @cached_property
     def _own_shops_size(self) -> tuple[int, int]:
-        size = self.own_shops.agg(
-            F.count("*").alias("rows"),
-            F.coalesce(F.sum(F.octet_length(F.col("customer_id").cast("string"))), F.lit(0)).alias(
-                "bytes"
-            ),
-        ).first()
-        return size["rows"], size["bytes"]
+        return key_list_size(self.own_shops)
 
     def invoiced(self, channel: Channel | None = None) -> DataFrame:
         """Invoiced sales, own shops included, with the calendar day of the order."""
@@ -83,13 +74,13 @@ class Ledger:
         sales = self.invoiced(channel)
         if period is not None:
             sales = sales.filter(period.contains(F.to_date("order_ts")))
-        rows, size = self._own_shops_size
-        if anonymous == DROP or (anonymous == AS_NOT_IN and rows > 0):
+        any_own_shop = self._own_shops_size[0] > 0
+        if anonymous == DROP or (anonymous == AS_NOT_IN and any_own_shop):
             sales = sales.filter(F.col("customer_id").isNotNull())
             anonymous = DROP
-        if rows == 0:
+        if not any_own_shop:
             return sales
-        if rows <= self.broadcast_rows and size <= BROADCAST_BYTES:
+        if may_broadcast(self._own_shops_size, self.broadcast_rows):
             return sales.join(F.broadcast(self.own_shops), "customer_id", "left_anti")
         # beyond the bound both sides are shuffled by id. Sales without id match nothing and
         # would meet in one task, so they bypass the join
@@ -98,3 +89,14 @@ class Ledger:
         if anonymous == DROP:
             return kept
         return kept.unionByName(sales.filter(F.col("customer_id").isNull()))
+
+    def orders_of(self, customer_ids: DataFrame, **restrictions) -> DataFrame:
+        """:meth:`orders`, narrowed to the given customers if their list is proven small.
+
+        Saves shuffling everybody's sales for a handful of customers. A longer list narrows
+        nothing, so join the customers to whatever is made of the sales in any case.
+        """
+        orders = self.orders(**restrictions)
+        if may_broadcast(key_list_size(customer_ids), self.broadcast_rows):
+            return orders.join(F.broadcast(customer_ids), "customer_id", "left_semi")
+        return orders

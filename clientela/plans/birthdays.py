@@ -78,8 +78,9 @@ def birthday_outbox(ledger: Ledger, as_of: date, lead_days: int = K.LEAD_DAYS) -
         first_name(F.col("full_name")).alias("first_name"),
         whatsapp_number(F.col("area_code"), F.col("phone")).alias("whatsapp"),
     )
+    born = born.filter(F.col("whatsapp") != "")
     latest = (
-        ledger.orders()
+        ledger.orders_of(born.select("customer_id"))
         .groupBy("customer_id", "source_system")
         .agg(F.max("order_ts").alias("latest"))
         .groupBy("customer_id")
@@ -94,8 +95,7 @@ def birthday_outbox(ledger: Ledger, as_of: date, lead_days: int = K.LEAD_DAYS) -
         )
     )
     return (
-        born.filter(F.col("whatsapp") != "")
-        .join(latest, "customer_id")
+        born.join(latest, "customer_id")
         .select(
             F.lit(as_of).alias("run_date"),
             "customer_id",

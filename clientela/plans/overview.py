@@ -95,12 +95,14 @@ def channel_share(ledger: Ledger, period: Period, channel: Channel | None = None
 def _of_invoiced_orders(lines: DataFrame, ledger: Ledger, period: Period, channel) -> DataFrame:
     """Lines of the period whose order id belongs to an invoiced sale of any day.
 
-    The key is the order id alone, without store. A semi join keeps its left side splittable, so
-    an order with very many lines is handled by the adaptive skew join.
+    The key is the order id alone, without store. An id that fills the sales table is reduced to
+    one row per store before it is shuffled for the join; an order with very many lines is split
+    by the adaptive skew join, which may split the left side of a semi join only.
     """
-    invoiced = ledger.orders(channel=channel, anonymous=AS_NOT_IN).select("order_id")
+    invoiced = ledger.orders(channel=channel, anonymous=AS_NOT_IN)
+    order_ids = invoiced.select("order_id", "store").distinct().select("order_id")
     return lines.filter(period.contains(F.to_date("order_ts"))).join(
-        invoiced, "order_id", "left_semi"
+        order_ids, "order_id", "left_semi"
     )
 
 

@@ -18,7 +18,9 @@ STAR_RULES = Rules(
 )
 
 
-def star_ledger(spark: SparkSession, folder: str, discount: bool = False) -> Ledger:
+def star_ledger(
+    spark: SparkSession, folder: str, discount: bool = False, **options
+) -> Ledger:
     """``discount`` adds the discount of each order, which has to be added up from its lines."""
 
     def table(name: str) -> DataFrame:
@@ -30,6 +32,7 @@ def star_ledger(spark: SparkSession, folder: str, discount: bool = False) -> Led
         items=_items(table("lineitem"), table("part")),
         payments=_payments(table("lineitem")),
         rules=STAR_RULES,
+        **options,
     )
 
 

@@ -1,11 +1,19 @@
-"""Every registered query against DuckDB, on the driver's tables and on a star full of hot keys."""
+"""Every registered query against DuckDB.
+
+On the driver's tables as they would run there, and on a star full of hot keys with everything
+that depends on size forced onto the way taken at scale.
+"""
 
 import pytest
 
 import __spark_entry__ as entry
+from checks import queries
 from checks.compare import difference, duckdb_views
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
+from clientela.operators.ntile import add_tiles
+from clientela.plans import rfm
+from clientela.sources.star import star_ledger
 from tests.star import write_hot_star
 
 SMALL = "/root/testdata/sf0.001"
@@ -38,7 +46,26 @@ def test_small(spark, small, name):
     assert difference(spark, small, SMALL, name, QUERIES[name], ORACLE[name]) is None
 
 
+@pytest.fixture
+def at_scale(monkeypatch, conf):
+    """No list is small enough to broadcast or to sort in one task, every skew is worth splitting."""
+    monkeypatch.setattr(
+        queries, "ledger", lambda *args: star_ledger(*args, broadcast_rows=0)
+    )
+    monkeypatch.setattr(
+        rfm, "add_tiles", lambda df, orders, tiles, limit: add_tiles(df, orders, tiles, 0)
+    )
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__files__maxPartitionBytes="60KB",
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="8KB",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="2KB",
+    )
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
-def test_hot_keys(spark, hot, name):
+def test_hot_keys(spark, hot, at_scale, name):
     folder, connection = hot
     assert difference(spark, connection, folder, name, QUERIES[name], ORACLE[name]) is None
