@@ -13,8 +13,9 @@ from checks.setting import AS_OF, BIRTHDAY_RUN, CUSTOMER, EVE, LONG, MID_MONTH,
 from clientela import constants as K
 from clientela.functions.contact import first_name, phone_digits, whatsapp_number
 from clientela.functions.numbers import format_brl, format_count
+from clientela.operators.durable import durable
 from clientela.operators.ledger import AS_NOT_IN, DROP, KEEP, Ledger
-from clientela.operators.ntile import add_tile_distributed
+from clientela.operators.ntile import add_tiles
 from clientela.params import ONLINE, PHYSICAL, Bounds, Channel, Period
 from clientela.plans import birthdays, campaigns, channels, customers, overview, retention, rfm
 from clientela.plans.campaigns import with_headings
@@ -95,7 +96,8 @@ def _by_store(anonymous: str) -> Query:
 def _distributed_tiles(book: Ledger) -> DataFrame:
     """Tiles of customers by number of sales of any status, forced onto the distributed form."""
     counts = book.sales.filter("customer_id is not null").groupBy("customer_id").count()
-    tiled = add_tile_distributed(counts, "tile", [F.asc("count"), F.asc("customer_id")], 7)
+    key = [F.col("count"), F.col("customer_id")]
+    tiled = add_tiles(durable(counts), {"tile": key}, 7, single_task_rows=0)
     return tiled.select("customer_id", F.col("count").alias("sales"), "tile")
 
 

@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only a local session gets a folder of its own."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; only a local session gets a folder of its own."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="clientela-")
-    context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Compute once and keep in the checkpoint folder, so lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute once, as a table in the checkpoint folder.
+
+    A lost executor then costs no recomputation, and later readers fetch only the columns they
+    need and know the size. The tables are left to the folder's own retention.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/clientela-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

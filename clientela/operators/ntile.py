@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_right
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from clientela.operators.durable import durable
@@ -10,70 +13,73 @@ from clientela.operators.durable import durable
 # up to this many rows one sorting task is cheaper than the distributed form
 SINGLE_TASK_ROWS = 200_000
 
+_PARTITION_BITS = 33  # monotonically_increasing_id() is partition << 33 | position
+
+
+def descending(column: Column) -> list[Column]:
+    """Sort key for a number from high to low, missing ones last."""
+    return [column.isNull(), -column]
+
 
 def add_tiles(
     df: DataFrame,
-    orders: dict[str, list[Column]],
+    keys: dict[str, list[Column]],
     tiles: int,
     single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
-    """Add one tile column (1..tiles) per entry of ``orders``.
+    """Add one tile column (1..tiles) per entry of ``keys``, each a list of ascending sort keys.
 
-    Each ordering has to be total, i.e. end in a unique column. ``df`` is counted first, so it
-    should be cheap to read again (see :func:`durable`). A table proven small is tiled with the
-    window function, any other by :func:`add_tile_distributed`; both give the same tiles.
+    The keys of an entry have to be unique together, so that tiles do not depend on chance.
+    ``df`` is counted first, so it should be cheap to read again (see :func:`durable`). A table
+    proven small is tiled by the window function. Of any other only the first key of each tile
+    is looked up, and a row's tile is the number of such keys it does not precede.
     """
-    if df.count() <= single_task_rows:
-        columns = {
-            name: F.ntile(tiles).over(Window.orderBy(*order)) for name, order in orders.items()
-        }
-        return df.withColumns(columns)
-    for name, order in orders.items():
-        df = add_tile_distributed(df, name, order, tiles)
-    return df
-
-
-def add_tile_distributed(df: DataFrame, name: str, order: list[Column], tiles: int) -> DataFrame:
-    """Exact ``ntile`` from a range partitioning.
-
-    Rows are range-partitioned and sorted, so the position of a row is its position within the
-    partition plus the rows of all partitions before it. Many rows with one metric value still
-    spread over partitions, because the ordering is total. The numbered rows are written once:
-    a second computation could draw other range bounds.
+    rows = df.count()
+    if rows <= single_task_rows:
+        return df.withColumns(
+            {name: F.ntile(tiles).over(Window.orderBy(*key)) for name, key in keys.items()}
+        )
+    columns = {}
+    for name, key in keys.items():
+        tile = F.lit(1)
+        for first in first_keys(df, key, rows, tiles):
+            tile = tile + (F.struct(*key) >= first).cast("int")
+        columns[name] = tile
+    return df.withColumns(columns)
+
+
+def first_keys(df: DataFrame, key: list[Column], rows: int, tiles: int) -> list[Column]:
+    """The smallest key of each tile but the first, as literals.
+
+    The keys alone are range-partitioned and sorted; many rows with the same metric still spread,
+    because the rest of the key tells them apart. The position of a key is its position within
+    the partition plus the rows of all partitions before, so one row count per partition says
+    where each tile starts. The numbered keys are written first: computed a second time, range
+    bounds could be drawn differently.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"k{i}" for i in range(len(key))]
     numbered = durable(
-        df.repartitionByRange(partitions, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("_id", F.monotonically_increasing_id())
+        df.select(*(k.alias(n) for k, n in zip(key, names)))
+        .repartitionByRange(partitions, *names)
+        .sortWithinPartitions(*names)
+        .withColumn("id", F.monotonically_increasing_id())
     )
-    partition, position = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    # at most one row per partition reaches the driver, whatever the data
+    sizes = numbered.groupBy(F.shiftright("id", _PARTITION_BITS).alias("part")).count().collect()
+    sizes = sorted((row["part"], row["count"]) for row in sizes)
+    starts = [0, *accumulate(count for _, count in sizes)]
 
-    # one row per partition: bounded by the number of partitions, whatever the data
-    sizes = numbered.groupBy(partition.alias("_part")).agg(F.count("*").alias("_rows"))
-    everything = Window.orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    offsets = sizes.select(
-        "_part",
-        (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"),
-        F.sum("_rows").over(everything).alias("_total"),
-    )
+    size, larger = divmod(rows, tiles)  # the first `larger` tiles hold one row more
+    ids = []
+    for tile in range(1, tiles):
+        position = tile * size + min(tile, larger)
+        if position < rows:
+            at = bisect_right(starts, position) - 1
+            ids.append((sizes[at][0] << _PARTITION_BITS) + position - starts[at])
+    found = numbered.filter(F.col("id").isin(ids)).orderBy("id").drop("id")
+    return [_literal(row, found) for row in found.collect()]
 
-    tiled = (
-        numbered.withColumns({"_part": partition, "_index": position})
-        .join(F.broadcast(offsets), "_part")
-        .withColumn("_index", F.col("_index") + F.col("_before"))
-        .withColumns(
-            {
-                "_size": F.expr(f"_total div {tiles}"),
-                "_larger": F.expr(f"_total % {tiles}"),
-            }
-        )
-    )
-    # the first _larger tiles hold _size + 1 rows, the others _size
-    in_larger = F.expr("_larger * (_size + 1)")
-    tile = F.when(F.col("_index") < in_larger, F.expr("_index div (_size + 1) + 1")).otherwise(
-        F.expr("(_index - _larger * (_size + 1)) div greatest(_size, 1) + _larger + 1")
-    )
-    return tiled.select(*df.columns, tile.cast("int").alias(name))
+
+def _literal(row: Row, df: DataFrame) -> Column:
+    return F.struct(*(F.lit(row[f.name]).cast(f.dataType) for f in df.schema.fields))

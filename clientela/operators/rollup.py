@@ -19,41 +19,46 @@ def distinct_orders() -> Column:
 def customer_rollup(orders: DataFrame, as_of: date, latest_system: bool = False) -> DataFrame:
     """Orders, spend, mean row, first and last purchase, idle days and stores of each customer.
 
-    Two levels: per customer and store, then per customer. A customer with a huge share of all
-    sales is spread by order id first and reaches the second level as one row per store.
+    Three levels: per order, per store, per customer. A customer with a huge share of all sales
+    is spread by order id first and reaches the last level as one row per store; no level needs
+    to keep a set of order ids.
     With ``latest_system`` also the source system of the latest sale; of several at the same
     moment the last by name.
     """
     figures = [
-        F.count_distinct("order_id").alias("orders"),
         F.sum("order_total").alias("spend"),
         F.count("order_total").alias("priced_rows"),
         F.min("day").alias("first_purchase"),
         F.max("day").alias("last_purchase"),
     ]
     merged = [
-        # an order without store is no order of its own
-        F.coalesce(F.sum(F.when(F.col("store").isNotNull(), F.col("orders"))), F.lit(0)).alias("orders"),
         F.sum("spend").alias("spend"),
         F.sum("priced_rows").alias("priced_rows"),
         F.min("first_purchase").alias("first_purchase"),
         F.max("last_purchase").alias("last_purchase"),
-        F.array_sort(F.collect_set("store")).alias("store_list"),
     ]
     if latest_system:
         figures.append(F.max(F.struct("order_ts", "source_system")).alias("latest"))
-        merged.append(F.max("latest").getField("source_system").alias("latest_system"))
-    per_store = orders.groupBy("customer_id", "store").agg(*figures)
-    return (
-        per_store.groupBy("customer_id")
-        .agg(*merged)
-        .withColumns(
-            {
-                "mean_row_value": mean(F.col("spend"), F.col("priced_rows")),
-                "idle_days": F.datediff(F.lit(as_of), F.col("last_purchase")),
-                "stores": F.when(
-                    F.size("store_list") > 0, F.array_join("store_list", K.STORE_SEPARATOR)
-                ),
-            }
-        )
+        merged.append(F.max("latest").alias("latest"))
+
+    per_order = orders.groupBy("customer_id", "store", "order_id").agg(*figures)
+    # a sale without order id or without store is no order
+    is_order = F.col("order_id").isNotNull() & F.col("store").isNotNull()
+    per_store = per_order.groupBy("customer_id", "store").agg(
+        F.count_if(is_order).alias("orders"), *merged
     )
+    per_customer = per_store.groupBy("customer_id").agg(
+        F.sum("orders").alias("orders"),
+        *merged,
+        F.array_sort(F.collect_set("store")).alias("store_list"),
+    )
+    derived = {
+        "mean_row_value": mean(F.col("spend"), F.col("priced_rows")),
+        "idle_days": F.datediff(F.lit(as_of), F.col("last_purchase")),
+        "stores": F.when(
+            F.size("store_list") > 0, F.array_join("store_list", K.STORE_SEPARATOR)
+        ),
+    }
+    if latest_system:
+        derived["latest_system"] = F.col("latest.source_system")
+    return per_customer.withColumns(derived).drop("latest")

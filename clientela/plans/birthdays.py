@@ -24,26 +24,33 @@ def birthdays_of_month(
     ordered: bool = True,
 ) -> DataFrame:
     """Customers born in the month with their figures, by day."""
-    born = ledger.customers.filter(F.month("birth_date") == month)
-    figures = customer_rollup(ledger.orders(channel=channel), as_of, latest_system=True)
+    born = ledger.customers.filter(F.month("birth_date") == month).withColumns(
+        {
+            "birth_day": F.dayofmonth("birth_date"),
+            "whatsapp": whatsapp_number(F.col("area_code"), F.col("phone")),
+            "first_name": first_name(F.col("full_name")),
+        }
+    )
+    if only_phone:
+        born = born.filter(F.col("whatsapp") != "")
+    orders = ledger.orders_of(born.select("customer_id"), channel=channel)
+    figures = customer_rollup(orders, as_of, latest_system=True)
     listed = born.join(figures, "customer_id", "inner" if only_buyers else "left").select(
         "customer_id",
         "full_name",
         "email",
         "birth_date",
         "city",
-        F.dayofmonth("birth_date").alias("birth_day"),
+        "birth_day",
         "orders",
         "spend",
         "last_purchase",
         "idle_days",
         "stores",
         "latest_system",
-        whatsapp_number(F.col("area_code"), F.col("phone")).alias("whatsapp"),
-        first_name(F.col("full_name")).alias("first_name"),
+        "whatsapp",
+        "first_name",
     )
-    if only_phone:
-        listed = listed.filter(F.col("whatsapp") != "")
     return listed.orderBy("birth_day", "customer_id") if ordered else listed
 
 

@@ -53,8 +53,9 @@ def campaign_birthdays(
 ) -> DataFrame:
     """Buyers with a birthday in the month of ``as_of``, by day; bounds do not apply."""
     born = ledger.customers.filter(F.month("birth_date") == as_of.month)
+    orders = ledger.orders_of(born.select("customer_id"), channel=channel)
     listed = (
-        customer_rollup(ledger.orders(channel=channel), as_of)
+        customer_rollup(orders, as_of)
         .join(born, "customer_id")
         .select(*_PROFILE, "orders", "spend", "mean_row_value", "last_purchase", "stores")
     )

@@ -14,7 +14,7 @@ from clientela.functions.labels import rfm_segment
 from clientela.functions.numbers import mean, rounded_ratio
 from clientela.operators.durable import durable
 from clientela.operators.ledger import Ledger
-from clientela.operators.ntile import SINGLE_TASK_ROWS, add_tiles
+from clientela.operators.ntile import SINGLE_TASK_ROWS, add_tiles, descending
 from clientela.operators.rollup import distinct_orders
 from clientela.params import Channel
 
@@ -29,7 +29,7 @@ def scored_customers(
     """Metrics, tiles and segment per customer, without contact data.
 
     Enough for the summary, the headline and the segment names, which then need no join.
-    Metrics are written once, since they are counted, sorted three ways and read for the result.
+    Metrics are written once, since they are counted, ranked three ways and read for the result.
     Ties between customers go by id.
     """
     metrics = (
@@ -43,13 +43,13 @@ def scored_customers(
             F.count("order_total").alias("priced_rows"),
         )
     )
-    tie = F.asc("customer_id")
+    tie = F.col("customer_id")
     tiled = add_tiles(
         durable(metrics),
         {
-            "r": [F.desc("recency_days"), tie],
-            "f": [F.asc("frequency"), tie],
-            "m": [F.asc("value"), tie],
+            "r": [*descending(F.col("recency_days")), tie],
+            "f": [F.col("frequency"), tie],
+            "m": [F.col("value"), tie],
         },
         tiles,
         single_task_rows,

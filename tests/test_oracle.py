@@ -53,7 +53,7 @@ def at_scale(monkeypatch, conf):
         queries, "ledger", lambda *args: star_ledger(*args, broadcast_rows=0)
     )
     monkeypatch.setattr(
-        rfm, "add_tiles", lambda df, orders, tiles, limit: add_tiles(df, orders, tiles, 0)
+        rfm, "add_tiles", lambda df, keys, tiles, limit: add_tiles(df, keys, tiles, 0)
     )
     conf(
         spark__sql__autoBroadcastJoinThreshold="-1",

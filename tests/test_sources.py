@@ -135,14 +135,10 @@ class Session:
 
 
 def test_checkpoint_folder():
-    named = Session("yarn", named="hdfs:///shared")
-    ensure_checkpoint_dir(named)
-    assert named.chosen == "hdfs:///shared"
-    current = Session("yarn", named="hdfs:///other", current="hdfs:///shared")
-    ensure_checkpoint_dir(current)
-    assert current.chosen == "hdfs:///shared"
+    assert ensure_checkpoint_dir(Session("yarn", named="hdfs:///shared")) == "hdfs:///shared"
+    assert ensure_checkpoint_dir(Session("yarn", current="hdfs:///set")) == "hdfs:///set"
     local = Session("local[2]")
-    ensure_checkpoint_dir(local)
-    assert "clientela-" in local.chosen
+    assert "clientela-" in ensure_checkpoint_dir(local)
+    assert ensure_checkpoint_dir(local) == local.chosen
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session("spark://master:7077"))
