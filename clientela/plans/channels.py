@@ -102,11 +102,8 @@ def channel_journey(ledger: Ledger, period: Period) -> DataFrame:
 def journey_matrix(journey: DataFrame, stores: list[str] | None = None) -> DataFrame:
     """Origin by destination, 0 where nobody went that way.
 
-    Without ``stores`` the destinations are read off the journeys, one row per pair of stores.
+    Without ``stores`` Spark reads the destinations off the journeys first.
     """
-    if stores is None:
-        found = journey.select("destination").distinct().orderBy("destination")
-        stores = [row["destination"] for row in found.collect()]
     matrix = journey.groupBy("origin").pivot("destination", stores).agg(F.sum("customers"))
     return matrix.na.fill(0).orderBy("origin")
 

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 
 from checks.setting import CUSTOMER
 
-CUSTOMERS, ORDERS, LINES = 400, 9000, 24000
+CUSTOMERS, ORDERS, LINES = 300, 6000, 12000
 
 
 def write_hot_star(folder) -> None:
@@ -18,7 +18,7 @@ def write_hot_star(folder) -> None:
 
     def write(name: str, **columns) -> None:
         table = pa.Table.from_pandas(pd.DataFrame(columns), preserve_index=False)
-        pq.write_table(table, f"{folder}/{name}.parquet", row_group_size=4000)
+        pq.write_table(table, f"{folder}/{name}.parquet", row_group_size=2000)
 
     write("region", r_regionkey=np.arange(5, dtype="int32"), r_name=[f"R{i}" for i in range(5)])
     write(

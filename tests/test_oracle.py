@@ -57,7 +57,7 @@ def at_scale(monkeypatch, conf):
     )
     conf(
         spark__sql__autoBroadcastJoinThreshold="-1",
-        spark__sql__files__maxPartitionBytes="60KB",
+        spark__sql__files__maxPartitionBytes="100KB",
         spark__sql__adaptive__coalescePartitions__enabled="false",
         spark__sql__adaptive__advisoryPartitionSizeInBytes="8KB",
         spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
