@@ -12,7 +12,11 @@ from clientela.operators.durable import durable
 from clientela.operators.sizes import BROADCAST_ROWS, key_list_size, may_broadcast
 from clientela.params import Channel, Period, Rules
 
+# a customer id with more copies than this is joined without bringing its copies together
+MANY_COPIES = 100_000
+
 DROP, KEEP, AS_NOT_IN = "drop", "keep", "as_not_in"
+BOTH, FIGURES, CONTACTS = "both", "figures", "contacts"
 
 
 class Ledger:
@@ -30,6 +34,7 @@ class Ledger:
         payments: DataFrame | None = None,
         rules: Rules = Rules(),
         broadcast_rows: int = BROADCAST_ROWS,
+        many_copies: int = MANY_COPIES,
     ):
         self.customers = customers
         self.sales = sales
@@ -37,6 +42,7 @@ class Ledger:
         self.payments = payments
         self.rules = rules
         self.broadcast_rows = broadcast_rows
+        self.many_copies = many_copies
 
     @cached_property
     def own_shops(self) -> DataFrame:
@@ -100,3 +106,43 @@ class Ledger:
         if may_broadcast(key_list_size(customer_ids), self.broadcast_rows):
             return orders.join(F.broadcast(customer_ids), "customer_id", "left_semi")
         return orders
+
+    @cached_property
+    def copied_ids(self) -> DataFrame | None:
+        """Customer ids with very many rows in the customer table, found once per ledger.
+
+        None where there are none – ids should be unique – or where the list is not proven small.
+        """
+        copies = self.customers.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").count()
+        ids = durable(copies.filter(F.col("count") > self.many_copies).select("customer_id"))
+        size = key_list_size(ids)
+        return ids if size[0] > 0 and may_broadcast(size, self.broadcast_rows) else None
+
+    def with_contacts(self, figures: DataFrame, contacts: DataFrame, keep: str = BOTH) -> DataFrame:
+        """Join one row of figures per customer with rows of the customer table.
+
+        ``keep`` is ``both`` for customers found on both sides, ``figures`` to keep customers
+        missing from the customer table, ``contacts`` to keep customers without figures.
+        Contacts without id match nothing and bypass the shuffle; so do the copies of an id that
+        has very many, whose one row of figures is sent to them instead.
+        """
+        how = {BOTH: "inner", FIGURES: "left", CONTACTS: "right"}[keep]
+        key = F.col("customer_id")
+        known, copied = contacts.filter(key.isNotNull()), self.copied_ids
+        if copied is None:
+            joined = figures.join(known, "customer_id", how)
+        else:
+            copied = F.broadcast(copied)
+            figures = durable(figures)
+            ordinary = figures.join(copied, "customer_id", "left_anti").join(
+                known.join(copied, "customer_id", "left_anti"), "customer_id", how
+            )
+            # at most as many rows as there are copied ids
+            few = F.broadcast(figures.join(copied, "customer_id", "left_semi"))
+            copies = known.join(copied, "customer_id", "left_semi").join(
+                few, "customer_id", "left" if keep == CONTACTS else "inner"
+            )
+            joined = ordinary.unionByName(copies)
+        if keep == CONTACTS:
+            joined = joined.unionByName(contacts.filter(key.isNull()), allowMissingColumns=True)
+        return joined

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clientela import constants as K
 from clientela.functions.contact import delivery_channel, first_name, whatsapp_number
-from clientela.operators.ledger import Ledger
+from clientela.operators.ledger import BOTH, CONTACTS, Ledger
 from clientela.operators.rollup import customer_rollup
 from clientela.params import Channel
 
@@ -35,7 +35,7 @@ def birthdays_of_month(
         born = born.filter(F.col("whatsapp") != "")
     orders = ledger.orders_of(born.select("customer_id"), channel=channel)
     figures = customer_rollup(orders, as_of, latest_system=True)
-    listed = born.join(figures, "customer_id", "inner" if only_buyers else "left").select(
+    listed = ledger.with_contacts(figures, born, BOTH if only_buyers else CONTACTS).select(
         "customer_id",
         "full_name",
         "email",
@@ -102,7 +102,7 @@ def birthday_outbox(ledger: Ledger, as_of: date, lead_days: int = K.LEAD_DAYS) -
         )
     )
     return (
-        born.join(latest, "customer_id")
+        ledger.with_contacts(latest, born)
         .select(
             F.lit(as_of).alias("run_date"),
             "customer_id",

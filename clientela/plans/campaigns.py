@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clientela import constants as K
 from clientela.functions.contact import first_name, whatsapp_number
 from clientela.functions.numbers import mean
-from clientela.operators.ledger import Ledger
+from clientela.operators.ledger import FIGURES, Ledger
 from clientela.operators.ntile import SINGLE_TASK_ROWS
 from clientela.operators.rollup import customer_rollup
 from clientela.params import Bounds, Channel
@@ -42,7 +42,7 @@ def campaign_custom(
         & (F.col("spend") >= bounds.min_spend)
         & (F.col("spend") <= bounds.max_spend)
     )
-    listed = chosen.join(ledger.customers, "customer_id").select(
+    listed = ledger.with_contacts(chosen, ledger.customers).select(
         *_PROFILE, "orders", "spend", "mean_row_value", "last_purchase", "idle_days", "stores"
     )
     return listed.orderBy(F.desc("spend"), "customer_id") if ordered else listed
@@ -55,8 +55,7 @@ def campaign_birthdays(
     born = ledger.customers.filter(F.month("birth_date") == as_of.month)
     orders = ledger.orders_of(born.select("customer_id"), channel=channel)
     listed = (
-        customer_rollup(orders, as_of)
-        .join(born, "customer_id")
+        ledger.with_contacts(customer_rollup(orders, as_of), born)
         .select(*_PROFILE, "orders", "spend", "mean_row_value", "last_purchase", "stores")
     )
     return listed.orderBy(F.dayofmonth("birth_date"), "customer_id") if ordered else listed
@@ -74,7 +73,7 @@ def campaign_rfm(
     members = scored_customers(
         ledger, as_of, channel, single_task_rows=single_task_rows
     ).filter(F.col("segment") == segment)
-    listed = members.join(ledger.customers, "customer_id", "left").select(
+    listed = ledger.with_contacts(members, ledger.customers, FIGURES).select(
         *_PROFILE,
         F.col("frequency").alias("orders"),
         F.col("value").alias("spend"),

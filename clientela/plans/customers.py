@@ -26,8 +26,7 @@ def customer_base(
     """
     orders = ledger.orders(period).filter(F.col("customer_id").cast("string") != "")
     base = (
-        customer_rollup(orders, as_of)
-        .join(ledger.customers, "customer_id")
+        ledger.with_contacts(customer_rollup(orders, as_of), ledger.customers)
         .select(
             "customer_id",
             "full_name",

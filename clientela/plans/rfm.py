@@ -13,7 +13,7 @@ from clientela.functions.contact import whatsapp_number
 from clientela.functions.labels import rfm_segment
 from clientela.functions.numbers import mean, rounded_ratio
 from clientela.operators.durable import durable
-from clientela.operators.ledger import Ledger
+from clientela.operators.ledger import FIGURES, Ledger
 from clientela.operators.ntile import SINGLE_TASK_ROWS, add_tiles, descending
 from clientela.operators.rollup import distinct_orders
 from clientela.params import Channel
@@ -78,7 +78,7 @@ def rfm_scores(
     contacts = ledger.customers.select(
         "customer_id", "full_name", "email", "area_code", "phone", "birth_date"
     )
-    listed = scores.join(contacts, "customer_id", "left").select(
+    listed = ledger.with_contacts(scores, contacts, FIGURES).select(
         "customer_id",
         "recency_days",
         "frequency",

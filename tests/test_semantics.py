@@ -433,3 +433,31 @@ def test_conform_keeps_leading_zeros(spark):
     df = conform(given, "customers", WAREHOUSE_COLUMNS["customers"])
     assert df.schema == SCHEMAS["customers"]
     assert values(df, "customer_id", "phone") == [("007", "999887766")]
+
+
+@pytest.mark.parametrize("copies", [100_000, 1])
+def test_copies_of_a_customer(book, copies):
+    """An id with many copies, among them the empty one, takes another way to the same rows."""
+    born = date(1990, 6, 9)
+    people = [
+        person("1", "Ana", born=born),
+        *(person("2", f"Bia {i}", born=born) for i in range(3)),
+        *(person("", f"Caio {i}", born=born) for i in range(3)),
+        *(person("4", f"Davi {i}", born=born) for i in range(2)),
+        *(person(None, f"Eva {i}", born=born) for i in range(2)),
+    ]
+    sales = [sale(i, f"o{i}", "2024-03-01") for i in ("1", "2", "", "5")]
+    ledger = book(people, sales, many_copies=copies)
+    assert (ledger.copied_ids is None) == (copies == 100_000)
+
+    ids = lambda df: sorted(values(df, "customer_id"), key=str)
+    buyers = ["", "", "", "1", "2", "2", "2"]
+    assert ids(rfm.rfm_scores(ledger, AS_OF)) == [*buyers, "5"]
+    assert ids(customers.customer_base(ledger, YEAR, AS_OF)) == ["1", "2", "2", "2"]
+    assert ids(campaigns.campaign_custom(ledger, AS_OF)) == buyers
+    assert ids(campaigns.campaign_birthdays(ledger, AS_OF)) == buyers
+    month = birthdays.birthdays_of_month(ledger, 6, AS_OF, only_buyers=False)
+    assert ids(month) == [*buyers, "4", "4", None, None]
+    assert ids(month.filter("orders = 1")) == buyers
+    assert ids(birthdays.birthdays_of_month(ledger, 6, AS_OF)) == buyers
+    assert ids(birthdays.birthday_outbox(ledger, date(2024, 6, 2))) == buyers
