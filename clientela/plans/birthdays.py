@@ -101,15 +101,12 @@ def birthday_outbox(ledger: Ledger, as_of: date, lead_days: int = K.LEAD_DAYS) -
             F.col("channel").alias("canal"),
         )
     )
-    return (
-        ledger.with_contacts(latest, born)
-        .select(
-            F.lit(as_of).alias("run_date"),
-            "customer_id",
-            "full_name",
-            "first_name",
-            "whatsapp",
-            "channel",
-            payload.alias("payload"),
-        )
+    return ledger.with_contacts(latest, born).select(
+        F.lit(as_of).alias("run_date"),
+        "customer_id",
+        "full_name",
+        "first_name",
+        "whatsapp",
+        "channel",
+        payload.alias("payload"),
     )

@@ -54,9 +54,8 @@ def campaign_birthdays(
     """Buyers with a birthday in the month of ``as_of``, by day; bounds do not apply."""
     born = ledger.customers.filter(F.month("birth_date") == as_of.month)
     orders = ledger.orders_of(born.select("customer_id"), channel=channel)
-    listed = (
-        ledger.with_contacts(customer_rollup(orders, as_of), born)
-        .select(*_PROFILE, "orders", "spend", "mean_row_value", "last_purchase", "stores")
+    listed = ledger.with_contacts(customer_rollup(orders, as_of), born).select(
+        *_PROFILE, "orders", "spend", "mean_row_value", "last_purchase", "stores"
     )
     return listed.orderBy(F.dayofmonth("birth_date"), "customer_id") if ordered else listed
 

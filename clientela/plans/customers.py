@@ -25,27 +25,25 @@ def customer_base(
     Only customers found in the master data; sales under an empty id are left out.
     """
     orders = ledger.orders(period).filter(F.col("customer_id").cast("string") != "")
-    base = (
-        ledger.with_contacts(customer_rollup(orders, as_of), ledger.customers)
-        .select(
-            "customer_id",
-            "full_name",
-            "email",
-            phone_digits(F.col("area_code"), F.col("phone")).alias("phone_digits"),
-            whatsapp_number(F.col("area_code"), F.col("phone")).alias("whatsapp"),
-            "birth_date",
-            "city",
-            "state",
-            "orders",
-            "spend",
-            "priced_rows",
-            "mean_row_value",
-            "last_purchase",
-            "first_purchase",
-            "idle_days",
-            "stores",
-            "store_list",
-        )
+    figures = customer_rollup(orders, as_of)
+    base = ledger.with_contacts(figures, ledger.customers).select(
+        "customer_id",
+        "full_name",
+        "email",
+        phone_digits(F.col("area_code"), F.col("phone")).alias("phone_digits"),
+        whatsapp_number(F.col("area_code"), F.col("phone")).alias("whatsapp"),
+        "birth_date",
+        "city",
+        "state",
+        "orders",
+        "spend",
+        "priced_rows",
+        "mean_row_value",
+        "last_purchase",
+        "first_purchase",
+        "idle_days",
+        "stores",
+        "store_list",
     )
     return base.orderBy(F.desc("spend"), "customer_id") if ordered else base
 
