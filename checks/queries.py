@@ -33,7 +33,7 @@ def ledger(spark: SparkSession, folder: str, discount: bool = False) -> Ledger:
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Doubles for decimals and bigints for ints, as the comparison wants them."""
+    """Doubles for decimals, bigints for ints and text for days, the same in both engines."""
     columns = []
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
@@ -41,6 +41,8 @@ def plain(df: DataFrame) -> DataFrame:
             column = column.cast("double")
         elif isinstance(field.dataType, T.IntegerType):
             column = column.cast("bigint")
+        elif isinstance(field.dataType, T.DateType):
+            column = column.cast("string")
         elif isinstance(field.dataType, T.ArrayType):
             continue
         columns.append(column.alias(field.name))

@@ -35,6 +35,15 @@ def test_every_query_has_an_oracle():
     assert set(entry.queries()) == set(entry.oracle_sql())
 
 
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_same_types(spark, small, name):
+    """Plain types only, the same on both sides."""
+    ours = dict(QUERIES[name](spark, SMALL).dtypes)
+    alike = {"VARCHAR": "string", "DOUBLE": "double", "BIGINT": "bigint"}
+    columns = small.execute(f"DESCRIBE {ORACLE[name]}").fetchall()
+    assert ours == {column[0]: alike[column[1]] for column in columns}
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert 0 < len(rows) <= 9
