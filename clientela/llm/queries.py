@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientela.llm.jaccard_join import jaccard_classes
+from clientela.llm.oracle import ORACLE
+from clientela.llm.quality_rules import judge
 from clientela.llm.shared import ship
 from clientela.llm.substring_dedup import remove_repeats
 
@@ -24,6 +26,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_classes(table(spark, folder, "documents"), width=3, threshold="0.9")
 
 
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of each document, with cutoffs certified for each language."""
+    return judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of each document without 50-word passages of smaller ids, as a digest."""
     out = remove_repeats(table(spark, folder, "documents"), width=50)
@@ -32,6 +39,7 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_quality_rules": op3_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
 }
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
