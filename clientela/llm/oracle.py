@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from clientela.llm.decontamination import TOKEN, UNITS
 from clientela.llm.quality_rules import LEVELS
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -90,4 +91,95 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     SELECT 1 FROM used u WHERE u.stratum = m.stratum AND m.metrics[u.metric] > u.cutoff) AS kept
 FROM m
 """
-ORACLE: dict[str, str] = {"op3_quality_rules": OP3}
+
+
+_HOST = "translate(regexp_extract({0}, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract({0}, '://[^/?#]*([^?#]*)', 1)"
+_ADDRESS = f"{_HOST} || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END || regexp_extract({{0}}, '://[^/?#]*[^?#]*([?][^#]*)', 1)"
+OP2 = rf"""
+WITH RECURSIVE rules(host, path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), p AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+), q AS (
+  SELECT *, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM p
+), tags AS (
+  SELECT url, host, path, regexp_extract(t, '(?i)href\s*=\s*["'']?([^"''\s>]*)', 1) AS target
+  FROM (SELECT url, host, path, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*>')) AS t FROM q)
+  WHERE regexp_matches(t, '(?i)rel\s*=\s*["'']?\s*canonical\b')
+  UNION ALL
+  SELECT url, host, path, regexp_extract(t, '(?i)url\s*=\s*([^"''>]*)', 1)
+  FROM (SELECT url, host, path, unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*>')) AS t FROM q)
+  WHERE regexp_matches(t, '(?i)http-equiv\s*=\s*["'']?\s*refresh\b')
+), whole AS (
+  SELECT url, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target
+    WHEN starts_with(target, '/') THEN 'http://' || host || target WHEN starts_with(target, '?') THEN 'http://' || host || path || target
+    WHEN starts_with(target, '#') THEN url
+    ELSE 'http://' || host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || target END AS other
+  FROM (SELECT url, host, path, replace(trim(target), '&amp;', '&') AS target FROM tags) WHERE target <> ''
+), ends AS (
+  SELECT {_ADDRESS.format("url")} AS u, {_ADDRESS.format("other")} AS v, url, other FROM whole WHERE {_HOST.format("url")} <> ''
+), both_ways AS (
+  SELECT u, v FROM ends UNION SELECT v, u FROM ends
+), reach AS (
+  SELECT u, u AS v FROM both_ways UNION SELECT reach.u, b.v FROM reach JOIN both_ways b ON reach.v = b.u
+), named AS (
+  SELECT u AS node, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM ends
+  UNION SELECT v, {_HOST.format("other")}, {_PATH.format("other")} FROM ends
+), fits AS (
+  SELECT n.host, n.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS verdict
+  FROM (SELECT host, path FROM q UNION SELECT host, path FROM named) n
+  JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path) GROUP BY ALL
+), said AS (
+  SELECT node, verdict FROM named JOIN fits USING (host, path)
+), alias AS (
+  SELECT u AS node, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' WHEN bool_or(verdict = 'block') THEN 'block' END AS verdict
+  FROM reach JOIN said ON reach.v = said.node GROUP BY u
+)
+SELECT page_id, q.host, q.path, f.rule, coalesce(f.verdict, a.verdict, 'allow') AS verdict,
+  CASE WHEN f.rule IS NOT NULL THEN 'rule' WHEN a.verdict IS NOT NULL THEN 'alias' ELSE 'none' END AS reason
+FROM q LEFT JOIN fits f USING (host, path) LEFT JOIN alias a ON q.host <> '' AND a.node = {_ADDRESS.format("url")}
+"""
+
+_TEMPLATE = f"""list_transform(t, lambda x, i: CASE WHEN regexp_matches(x, '^\\p{{N}}') THEN '0' WHEN regexp_matches(x, '^\\p{{Lu}}') THEN '2'
+    WHEN x IN {tuple(UNITS)} AND i > 1 AND coalesce(regexp_matches(t[i - 1], '^\\p{{N}}'), false) THEN '1' ELSE x END)"""
+OP10 = rf"""
+WITH i AS (
+  SELECT item_id, t, least(len(t), 8) AS w, {_TEMPLATE} AS k
+  FROM (SELECT DISTINCT item_id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS t FROM benchmark WHERE item_id IS NOT NULL)
+  WHERE len(t) > 0
+), iw AS (
+  SELECT item_id, w, p, k[p + 1:p + w] AS g FROM (SELECT *, unnest(range(0, len(k) - w + 1)) AS p FROM i)
+  WHERE 2 * len(list_filter(k[p + 1:p + w], lambda x: x NOT IN ('0', '1', '2'))) >= w
+), total AS (
+  SELECT item_id, count(DISTINCT p) AS item_windows FROM iw GROUP BY ALL
+), d AS (
+  SELECT doc_id, t, {_TEMPLATE} AS k
+  FROM (SELECT DISTINCT doc_id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS t FROM documents WHERE doc_id IS NOT NULL)
+), dw AS (
+  SELECT doc_id, w, a, k[a + 1:a + w] AS g
+  FROM (SELECT *, unnest(range(0, len(k) - w + 1)) AS a FROM d, (SELECT DISTINCT w FROM iw))
+), hit AS (
+  SELECT DISTINCT doc_id, item_id, a, p, iw.w, a - p AS shift FROM dw JOIN iw ON dw.w = iw.w AND dw.g = iw.g
+), likely AS (
+  SELECT doc_id, item_id FROM hit JOIN total USING (item_id) GROUP BY doc_id, item_id, item_windows
+  HAVING count(DISTINCT p) >= 0.6 * item_windows
+), slot AS (
+  SELECT doc_id, item_id, shift, i.t[p + n] AS item_value, d.t[a + n] AS doc_value
+  FROM (SELECT *, unnest(range(1, w + 1)) AS n FROM hit SEMI JOIN likely USING (doc_id, item_id)) h
+  JOIN d USING (doc_id) JOIN i USING (item_id)
+  WHERE regexp_matches(i.t[p + n], '^[\p{{N}}\p{{Lu}}]')
+), filled AS (
+  SELECT doc_id, item_id, shift, count(*) AS slots, count(*) FILTER (c = 1) AS agreeing
+  FROM (SELECT doc_id, item_id, shift, item_value, count(DISTINCT doc_value) AS c FROM slot GROUP BY ALL) GROUP BY ALL
+)
+SELECT doc_id, item_id, count(DISTINCT p) AS matched, item_windows, coalesce(max(slots), 0) AS slots, coalesce(max(agreeing), 0) AS agreeing
+FROM hit SEMI JOIN likely USING (doc_id, item_id) LEFT JOIN filled USING (doc_id, item_id, shift) JOIN total USING (item_id)
+WHERE coalesce(agreeing >= 0.8 * slots, true)
+GROUP BY doc_id, item_id, item_windows HAVING count(DISTINCT p) >= 0.6 * item_windows
+"""
+ORACLE: dict[str, str] = {
+    "op2_url_filters": OP2,
+    "op3_quality_rules": OP3,
+    "op10_benchmark_decontamination": OP10,
+}

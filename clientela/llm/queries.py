@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clientela.llm.decontamination import contaminated
 from clientela.llm.jaccard_join import jaccard_classes
 from clientela.llm.oracle import ORACLE
 from clientela.llm.quality_rules import judge
 from clientela.llm.shared import ship
 from clientela.llm.substring_dedup import remove_repeats
+from clientela.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +28,15 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_classes(table(spark, folder, "documents"), width=3, threshold="0.9")
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page under the contract's rules and its redirect class."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, folder, "pages"), rules)
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of each document, with cutoffs certified for each language."""
     return judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -37,9 +48,16 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold benchmark items, word for word or with other numbers and names."""
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_url_filters": op2_url_filters,
     "op3_quality_rules": op3_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 __all__ = ["ORACLE", "QUERIES"]
