@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clientela.llm import byte_bpe, compression_quality
 from clientela.llm.decontamination import contaminated
 from clientela.llm.jaccard_join import jaccard_classes
 from clientela.llm.oracle import ORACLE
 from clientela.llm.quality_rules import judge
-from clientela.llm.shared import ship
+from clientela.llm.shared import fold, ship
 from clientela.llm.substring_dedup import remove_repeats
 from clientela.llm.url_filter import judge_urls
 
@@ -42,6 +44,21 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of each document by compression, learnt from the labels of two folds of three."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    known = labels.filter(fold(labels, 3) != 1).select("doc_id", F.col("quality").alias("label"))
+    out = compression_quality.score(docs, compression_quality.fit(docs, known))
+    return out.select("doc_id", (fold(out, 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op6_byte_bpe(spark: SparkSession, folder: str, ranks: str | None = None) -> DataFrame:
+    """Ids of each document and the bytes they decode to, as digests."""
+    content = byte_bpe.read_ranks(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = byte_bpe.encode(table(spark, folder, "documents"), content, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode(encoded, content, public_tokenizers.PATTERN))
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of each document without 50-word passages of smaller ids, as a digest."""
     out = remove_repeats(table(spark, folder, "documents"), width=50)
@@ -57,6 +74,8 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
     "op3_quality_rules": op3_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_byte_bpe": op6_byte_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
