@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientela.llm import byte_bpe, compression_quality
+from clientela.llm import byte_bpe, compression_quality, toxicity
 from clientela.llm.decontamination import contaminated
 from clientela.llm.jaccard_join import jaccard_classes
 from clientela.llm.oracle import ORACLE
@@ -59,6 +59,14 @@ def op6_byte_bpe(spark: SparkSession, folder: str, ranks: str | None = None) ->
     return byte_bpe.digests(byte_bpe.decode(encoded, content, public_tokenizers.PATTERN))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of each document by its restored words, learnt from the labels of four folds of five."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    known = labels.filter(fold(labels, 5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    out = toxicity.score(docs, toxicity.fit(docs, known))
+    return out.select("doc_id", (fold(out, 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of each document without 50-word passages of smaller ids, as a digest."""
     out = remove_repeats(table(spark, folder, "documents"), width=50)
@@ -76,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality_rules": op3_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
