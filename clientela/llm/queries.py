@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clientela.llm import byte_bpe, compression_quality, toxicity
 from clientela.llm.decontamination import contaminated
 from clientela.llm.jaccard_join import jaccard_classes
+from clientela.llm.katz import katz_scores
 from clientela.llm.oracle import ORACLE
 from clientela.llm.quality_rules import judge
 from clientela.llm.shared import fold, ship
@@ -44,12 +45,18 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Katz log probability of each document, learnt from four folds of five."""
+    docs = table(spark, folder, "documents")
+    return katz_scores(docs, fold(5) == 1)
+
+
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of each document by compression, learnt from the labels of two folds of three."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    known = labels.filter(fold(labels, 3) != 1).select("doc_id", F.col("quality").alias("label"))
+    known = labels.filter(fold(3) != 1).select("doc_id", F.col("quality").alias("label"))
     out = compression_quality.score(docs, compression_quality.fit(docs, known))
-    return out.select("doc_id", (fold(out, 3) == 1).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
 def op6_byte_bpe(spark: SparkSession, folder: str, ranks: str | None = None) -> DataFrame:
@@ -62,9 +69,9 @@ def op6_byte_bpe(spark: SparkSession, folder: str, ranks: str | None = None) ->
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of each document by its restored words, learnt from the labels of four folds of five."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    known = labels.filter(fold(labels, 5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    known = labels.filter(fold(5) != 0).select("doc_id", F.col("toxic").alias("label"))
     out = toxicity.score(docs, toxicity.fit(docs, known))
-    return out.select("doc_id", (fold(out, 5) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
     "op3_quality_rules": op3_quality_rules,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_toxicity": op8_toxicity,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -62,9 +63,9 @@ def documents_of(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
 
 
-def fold(df: DataFrame, modulus: int) -> Column:
+def fold(modulus: int) -> Column:
     """crc32 of the decimal ``doc_id``, modulo ``modulus``."""
-    return F.crc32(df["doc_id"].cast("string").cast("binary")) % modulus
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -93,3 +94,18 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(package.parent))
     context.addPyFile(str(target))
     context._clientela_shipped = True
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now, not when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {str(Path(f).parent) for f in df.inputFiles()[:1]}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") else folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
