@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clientela.llm import byte_bpe, compression_quality, toxicity
 from clientela.llm.decontamination import contaminated
+from clientela.llm.html_extraction import extract
 from clientela.llm.jaccard_join import jaccard_classes
 from clientela.llm.katz import katz_scores
 from clientela.llm.oracle import ORACLE
@@ -66,6 +67,12 @@ def op6_byte_bpe(spark: SparkSession, folder: str, ranks: str | None = None) ->
     return byte_bpe.digests(byte_bpe.decode(encoded, content, public_tokenizers.PATTERN))
 
 
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    out = extract(table(spark, folder, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of each document by its restored words, learnt from the labels of four folds of five."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -92,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_html_extraction": op7_html_extraction,
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
