@@ -152,11 +152,12 @@ def _by_length(whole: pa.RecordBatch, limit: int = SLICE // 4) -> Iterator[pa.Re
         yield whole.slice(start)
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids, decoded)."""
+def digests(decoded: DataFrame, *further: str) -> DataFrame:
+    """(doc_id, n_tokens, further columns, ids_sha256, decoded_sha256) of (doc_id, ids, decoded)."""
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
+        *further,
         F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -14,7 +14,7 @@ from clientela.llm.html_extraction import extract
 from clientela.llm.jaccard_join import jaccard_classes
 from clientela.llm.katz import katz_scores
 from clientela.llm.oracle import ORACLE
-from clientela.llm.quality_rules import judge
+from clientela.llm.quality_rules import SPACES, judge
 from clientela.llm.shared import fold, ship
 from clientela.llm.substring_dedup import remove_repeats
 from clientela.llm.url_filter import judge_urls
@@ -84,7 +84,8 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of each document without 50-word passages of smaller ids, as a digest."""
     out = remove_repeats(table(spark, folder, "documents"), width=50)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+    words = F.trim(F.regexp_replace("text", SPACES + "+", " "))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(words, "UTF-8"), 256).alias("kept_sha256"))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:

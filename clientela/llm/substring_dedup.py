@@ -10,7 +10,6 @@ hash, and only where one anchor has different passages are their windows compare
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -102,26 +101,43 @@ def _spans(mask: np.ndarray) -> list[dict]:
     return [{"first": int(a), "end": int(b)} for a, b in zip(edge[0::2], edge[1::2])]
 
 
-def _remove(width: int, gram: int, schema: pa.Schema):
+def _without(words: Words, i: int, spans: list[dict]) -> bytes:
+    """A text without the words of some spans and the white space after them."""
+    first, end = words.first[i], words.first[i + 1]
+    low, out = words.begins[i], []
+    for s in spans:
+        out.append(words.data[low : words.starts[first + s["first"]]].tobytes())
+        low = words.starts[first + s["end"]] if first + s["end"] < end else words.begins[i + 1] - 1
+    out.append(words.data[low : words.begins[i + 1] - 1].tobytes())
+    return b"".join(out)
+
+
+_KEPT = [("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))]
+
+
+def _remove(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", AUTOMATON_BYTES):
             docs, texts = part.column("doc_id").to_pylist(), texts_of(part.column("text"))
             whole = [dict(zip(k or (), v or ())) for k, v in zip(part.column("passages").to_pylist(), part.column("passage_docs").to_pylist())]
             single = [dict(zip(k or (), v or ())) for k, v in zip(part.column("ws").to_pylist(), part.column("w_docs").to_pylist())]
-            masks: dict[int, np.ndarray] = {}
-            if any(whole) or any(single):
-                masks = _locate(docs, Passages(texts, width, gram), whole, single, width)
-            kept, counts, removed, spans = [], [], [], []
+            marked = any(whole) or any(single)
+            p = Passages(texts, width, gram) if marked else None
+            masks = _locate(docs, p, whole, single, width) if marked else {}
+            kept, removed, spans = [], [], []
+            words = p.words if p else Words(texts)
             for i, t in enumerate(texts):
-                found = t.split()
-                counts.append(len(found))
                 mask = masks.get(i)
                 removed.append(0 if mask is None else int(mask.sum()))
                 spans.append([] if mask is None else _spans(mask))
-                kept.append(b" ".join(found if mask is None else compress(found, (~mask).tolist())).decode())
+                kept.append((t if mask is None else _without(words, i, spans[-1])).decode())
+            counts = words.counts()
             columns = [part.column("doc_id"), kept, counts, removed, spans]
-            if "rest" in schema.names:
+            fields = list(_KEPT)
+            if "rest" in part.schema.names:
                 columns.append(part.column("rest"))
+                fields.append(("rest", columns[-1].type))
+            schema = pa.schema(fields)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
@@ -171,8 +187,8 @@ def remove_repeats(documents: DataFrame, width: int = 50, gram: int = 8, rest: l
 
     A window is ``width`` consecutive words of one document. Each word is removed that a window covers
     whose word sequence also starts in a document with a smaller ``doc_id``; windows are judged on the
-    input. ``text`` has the kept words joined by one space, ``spans`` the removed word ranges (first,
-    end). Null texts have no words; texts of fewer words than a window lose none; rows that repeat are
+    input. ``text`` has the kept words with the white space before them, ``spans`` the removed word
+    ranges (first, end). Null texts have no words; texts of fewer words than a window lose none; rows that repeat are
     judged alike and none counts against its own ``doc_id``. Columns named in ``rest`` are carried
     along in a struct ``rest``; others are ignored. An empty table gives no rows.
     """
@@ -192,12 +208,7 @@ def remove_repeats(documents: DataFrame, width: int = 50, gram: int = 8, rest: l
     marks = found.join(recurring, ["anchor", "passage"]).filter("doc_id > least").select("doc_id", "passage", "least").distinct()
     marks = marks.groupBy("doc_id").agg(F.collect_list("passage").alias("passages"), F.collect_list("least").alias("passage_docs"))
     marks = marks.join(ws, "doc_id", "full")
-    schema = [("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))]
     ddl = "doc_id long, text string, n_words long, n_removed long, spans array<struct<first:long,end:long>>"
     if rest:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = docs.schema["rest"].dataType
-        schema.append(("rest", to_arrow_type(kind, timezone="UTC")))
-        ddl += f", rest {kind.simpleString()}"
-    return docs.join(marks, "doc_id", "left").mapInArrow(_remove(width, gram, pa.schema(schema)), ddl)
+        ddl += f", rest {docs.schema['rest'].dataType.simpleString()}"
+    return docs.join(marks, "doc_id", "left").mapInArrow(_remove(width, gram), ddl)

@@ -38,7 +38,8 @@ _FOLDED[65:91] = _BYTES[97:123]
 
 
 class Words:
-    """Words of a run of texts: byte ranges in ``data``; text ``i`` has words ``first[i]:first[i + 1]``."""
+    """Words of a run of texts: byte ranges in ``data``; text ``i`` begins at
+    ``begins[i]`` and has words ``first[i]:first[i + 1]``."""
 
     def __init__(self, texts: list[bytes]):
         joined = b"\n".join(texts) + b"\n"
@@ -49,7 +50,8 @@ class Words:
         if not space[0]:
             change = np.concatenate(([0], change))
         self.starts, self.ends = change[0::2], change[1::2]
-        self.first = np.searchsorted(self.starts, np.concatenate(([0], np.cumsum(sizes))))
+        self.begins = np.concatenate(([0], np.cumsum(sizes)))
+        self.first = np.searchsorted(self.starts, self.begins)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
