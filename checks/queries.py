@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +15,16 @@ from checks.setting import AS_OF, BIRTHDAY_RUN, CUSTOMER, EVE, LONG, MID_MONTH,
 from clientela import constants as K
 from clientela.functions.contact import first_name, phone_digits, whatsapp_number
 from clientela.functions.numbers import format_brl, format_count
-from clientela.operators.durable import durable
+from clientela.operators.durable import durable, ensure_checkpoint_dir
 from clientela.operators.ledger import AS_NOT_IN, DROP, KEEP, Ledger
 from clientela.operators.ntile import add_tiles
-from clientela.params import ONLINE, PHYSICAL, Bounds, Channel, Period
+from clientela.params import ONLINE, PHYSICAL, SEGMENTS_NARROW_FIRST, Bounds, Channel, Period
 from clientela.plans import birthdays, campaigns, channels, customers, overview, retention, rfm
 from clientela.plans.campaigns import with_headings
 from clientela.sources.coercion import coerce_numeric
+from clientela.sources.sinks import segment_file_name, write_csv, write_outbox
 from clientela.sources.star import star_ledger
-from clientela.sources.tables import duplicate_customers
+from clientela.sources.tables import duplicate_customers, parquet_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 SOUTH = Channel(store_fragment="south")
@@ -33,7 +36,7 @@ def ledger(spark: SparkSession, folder: str, discount: bool = False) -> Ledger:
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Doubles for decimals, bigints for ints and text for days, the same in both engines."""
+    """Doubles for decimals, bigints for ints and text for days and lists, the same in both engines."""
     columns = []
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
@@ -44,7 +47,7 @@ def plain(df: DataFrame) -> DataFrame:
         elif isinstance(field.dataType, T.DateType):
             column = column.cast("string")
         elif isinstance(field.dataType, T.ArrayType):
-            continue
+            column = F.array_join(column, "|")
         columns.append(column.alias(field.name))
     return df.select(*columns)
 
@@ -74,18 +77,14 @@ def _campaign(book: Ledger, objective: str, name: str = "") -> DataFrame:
     return campaigns.campaign_enrich(chosen, name, objective, AS_OF)
 
 
-def _custom(objective: str, channel: Channel | None = None) -> Query:
-    return _on(
-        lambda b: campaigns.campaign_list(
-            b, objective, AS_OF, Bounds(max_orders=12, max_spend=3_000_000), channel
-        )
-    )
+def _custom(objective: str, channel: Channel | None = None, bounds: Bounds = Bounds()) -> Query:
+    return _on(lambda b: campaigns.campaign_list(b, objective, AS_OF, bounds, channel))
 
 
-def _by_store(anonymous: str) -> Query:
+def _by_store(anonymous: str, period: Period | None = None) -> Query:
     """What is left of the invoiced sales under one reading of the own-shop exclusion."""
     return _on(
-        lambda b: b.orders(anonymous=anonymous)
+        lambda b: b.orders(period, anonymous=anonymous)
         .groupBy("store")
         .agg(
             F.count("*").alias("sales"),
@@ -96,10 +95,10 @@ def _by_store(anonymous: str) -> Query:
 
 
 def _distributed_tiles(book: Ledger) -> DataFrame:
-    """Tiles of customers by number of sales of any status, forced onto the distributed form."""
+    """Tiles of customers by number of sales of any status."""
     counts = book.sales.filter("customer_id is not null").groupBy("customer_id").count()
     key = [F.col("count"), F.col("customer_id")]
-    tiled = add_tiles(durable(counts), {"tile": key}, 7, single_task_rows=0)
+    tiled = add_tiles(durable(counts), {"tile": key}, 7)
     return tiled.select("customer_id", F.col("count").alias("sales"), "tile")
 
 
@@ -112,6 +111,49 @@ def _presets(book: Ledger) -> DataFrame:
     return counted.unpivot([], list(K.PERIOD_PRESETS), "preset", "sales")
 
 
+def _narrow_first(book: Ledger) -> DataFrame:
+    """Scores under the order of segments in which the narrower of two comes first."""
+    rules = replace(book.rules, segments=SEGMENTS_NARROW_FIRST)
+    other = Ledger(book.customers, book.sales, book.items, book.payments, rules)
+    return rfm.rfm_scores(other, AS_OF, ordered=False)
+
+
+def _folder(book: Ledger) -> str:
+    """A new folder beside the other intermediate tables."""
+    return f"{ensure_checkpoint_dir(book.sales.sparkSession)}/clientela-{uuid.uuid4().hex}"
+
+
+def _warehouse(book: Ledger) -> DataFrame:
+    """Tables written under the warehouse's names and columns, and read back as a ledger."""
+    folder = _folder(book)
+    for name, df in (("customers", book.customers), ("sales", book.sales), ("items", book.items), ("payments", book.payments)):
+        names = {ours: theirs for theirs, ours in K.WAREHOUSE_COLUMNS[name].items()}
+        df.select(*(F.col(c).alias(names[c]) for c in df.columns if c in names)).write.parquet(f"{folder}/{K.WAREHOUSE_TABLES[name]}")
+    again = parquet_ledger(book.sales.sparkSession, folder)
+    counted = [
+        df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_distinct("customer_id").alias("ids"))
+        for name, df in (("customers", again.customers), ("sales", again.sales))
+    ]
+    return counted[0].union(counted[1])
+
+
+def _csv_list(book: Ledger) -> DataFrame:
+    """A list written as CSV under its name, and read back."""
+    path = f"{_folder(book)}/{segment_file_name('Champions')}"
+    members = rfm.segment_members(_scores(book), "Champions").select("full_name", "email", "whatsapp", "frequency")
+    write_csv(members, path)
+    reader = members.sparkSession.read.schema(members.schema)
+    return reader.option("header", True).option("escape", '"').csv(path)
+
+
+def _outbox_written(book: Ledger) -> DataFrame:
+    """Messages written twice, as by a rerun, and read back."""
+    path = _folder(book)
+    for _ in range(2):
+        write_outbox(birthdays.birthday_outbox(book, BIRTHDAY_RUN), path, BIRTHDAY_RUN)
+    return book.sales.sparkSession.read.parquet(path)
+
+
 def _contacts(book: Ledger) -> DataFrame:
     area, phone = F.col("area_code"), F.col("phone")
     return book.customers.select(
@@ -154,7 +196,7 @@ QUERIES: dict[str, Query] = {
     "rfm_scores_online": _on(lambda b: rfm.rfm_scores(b, AS_OF, ONLINE)),
     "rfm_segment_summary": _on(lambda b: rfm.rfm_segment_summary(_scored(b))),
     "rfm_headline": _on(lambda b: rfm.rfm_headline(_scored(b))),
-    "rfm_sample": _on(lambda b: rfm.rfm_sample(_scores(b), n=500, seed=3)),
+    "rfm_sample": _on(lambda b: rfm.rfm_sample(_scored(b), b, n=500, seed=3)),
     "segment_members": _on(lambda b: rfm.segment_members(_scores(b), "At Risk")),
     "segment_members_headings": _on(
         lambda b: with_headings(rfm.segment_members(_scores(b), "Champions"), K.SEGMENT_HEADINGS)
@@ -184,7 +226,7 @@ QUERIES: dict[str, Query] = {
     ),
     "channel_journey": _on(lambda b: channels.channel_journey(b, LONG)),
     "journey_matrix": _on(
-        lambda b: channels.journey_matrix(channels.channel_journey(b, YEAR), STORES)
+        lambda b: channels.journey_matrix(channels.channel_journey(b, YEAR), STORES[:2])
     ),
     "journey_share": _on(lambda b: channels.journey_share(channels.channel_journey(b, YEAR))),
     "customer_base": _on(lambda b: customers.customer_base(b, YEAR, AS_OF)),
@@ -208,7 +250,7 @@ QUERIES: dict[str, Query] = {
         lambda b: customers.customer_card(customers.customer_base(b, LONG, AS_OF, False), CUSTOMER)
     ),
     "order_history": _on(lambda b: customers.order_history(b, CUSTOMER)),
-    "campaign_custom": _custom(K.CUSTOM, PHYSICAL),
+    "campaign_custom": _custom(K.CUSTOM, PHYSICAL, Bounds(max_orders=12, max_spend=3_000_000)),
     "campaign_reactivation": _custom(K.REACTIVATION),
     "campaign_repurchase": _custom(K.REPURCHASE),
     "campaign_vip": _custom(K.VIP, ONLINE),
@@ -240,5 +282,11 @@ QUERIES: dict[str, Query] = {
     "contacts": _on(_contacts),
     "formatted_sales": _on(_formatted_sales),
     "coerce_numeric": _on(_coerced),
-    "duplicate_customers": _on(lambda b: duplicate_customers(b.customers)),
+    "rfm_scores_ten_tiles": _on(lambda b: rfm.rfm_scores(b, AS_OF, tiles=10, ordered=False)),
+    "rfm_scores_narrow_segments_first": _on(_narrow_first),
+    "warehouse_tables": _on(_warehouse, discount=True),
+    "csv_list": _on(_csv_list),
+    "outbox_written": _on(_outbox_written),
+    "period_custom": _by_store(KEEP, Period.custom(AS_OF)),
+    "duplicate_customers": _on(lambda b: duplicate_customers(b.sales)),
 }

@@ -25,18 +25,6 @@ TOP_CATEGORIES = 10
 HISTORY_ROWS = 50
 LEAD_DAYS = 7
 
-# segment: (least r, most r, least f, most f, least m); the first row that fits names the customer,
-# and who fits none is "Hibernating"
-SEGMENT_RULES = (
-    ("Champions", 4, 5, 4, 5, 1),
-    ("Loyal Customers", 3, 5, 3, 5, 1),
-    ("Promising", 4, 5, 1, 2, 1),
-    ("Potential Loyalist", 3, 5, 1, 2, 1),
-    ("At Risk", 1, 2, 3, 5, 1),
-    ("Cannot Lose Them", 1, 1, 3, 5, 1),
-    ("About to Sleep", 1, 2, 1, 2, 3),
-    ("Lost", 1, 1, 1, 1, 1),
-)
 OTHER_SEGMENT = "Hibernating"
 SEGMENTS_IN_DANGER = ("At Risk", "Cannot Lose Them")
 
@@ -48,6 +36,9 @@ THIS_YEAR = "Este ano"
 EVERYTHING = "Tudo"
 PERIOD_PRESETS = (LAST_30_DAYS, LAST_90_DAYS, LAST_12_MONTHS, THIS_YEAR, EVERYTHING)
 
+# days before the day in question
+PRESET_DAYS = {LAST_30_DAYS: 30, LAST_90_DAYS: 90}
+
 # campaign objectives
 REACTIVATION = "Reativação (inativos)"
 REPURCHASE = "Recompra (ativos)"
@@ -56,13 +47,16 @@ MONTH_BIRTHDAYS = "Aniversariantes do mês"
 RFM_SEGMENT = "Segmento RFM"
 CUSTOM = "Personalizado"
 
-# objective: the bounds it sets
+# objective: the bounds it sets; None is no limit
 OBJECTIVE_BOUNDS = {
-    REACTIVATION: dict(min_days=90, max_days=9999, min_orders=1, min_spend=0),
+    REACTIVATION: dict(min_days=90, max_days=None, min_orders=1, min_spend=0),
     REPURCHASE: dict(min_days=30, max_days=89, min_orders=1, min_spend=0),
-    VIP: dict(min_days=0, max_days=9999, min_orders=3, min_spend=500),
+    VIP: dict(min_days=0, max_days=None, min_orders=3, min_spend=500),
 }
 
+# destinations that a list of stores leaves out
+OTHER_STORES = "Outras lojas"
+
 # names of the warehouse tables and the columns read from them
 WAREHOUSE_TABLES = {
     "customers": "trusted_clientes",

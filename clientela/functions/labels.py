@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clientela import constants as K
+from clientela.params import SEGMENTS, SegmentRule
 
 
 def channel_label(online_system: str = K.ONLINE_SYSTEM) -> Column:
@@ -21,10 +22,9 @@ def category_label(category: Column, prefixes: tuple[tuple[str, str], ...]) -> C
     return label
 
 
-def rfm_segment(r: Column, f: Column, m: Column) -> Column:
-    """First rule that fits. "Cannot Lose Them" sits behind the wider "At Risk" and never applies."""
+def rfm_segment(r: Column, f: Column, m: Column, rules: tuple[SegmentRule, ...] = SEGMENTS) -> Column:
+    """Name of the first rule that fits the tiles, for any number of tiles."""
     label = F.lit(K.OTHER_SEGMENT)
-    for name, least_r, most_r, least_f, most_f, least_m in reversed(K.SEGMENT_RULES):
-        fits = r.between(least_r, most_r) & f.between(least_f, most_f) & (m >= least_m)
-        label = F.when(fits, name).otherwise(label)
+    for rule in reversed(rules):
+        label = F.when(rule.fits(r, f, m), rule.name).otherwise(label)
     return label

@@ -12,9 +12,6 @@ from clientela.operators.durable import durable
 from clientela.operators.sizes import BROADCAST_ROWS, key_list_size, may_broadcast
 from clientela.params import Channel, Period, Rules
 
-# a customer id with more copies than this is joined without bringing its copies together
-MANY_COPIES = 100_000
-
 DROP, KEEP, AS_NOT_IN = "drop", "keep", "as_not_in"
 BOTH, FIGURES, CONTACTS = "both", "figures", "contacts"
 
@@ -22,8 +19,10 @@ BOTH, FIGURES, CONTACTS = "both", "figures", "contacts"
 class Ledger:
     """Customers, sales, items and payments of one retailer.
 
-    Own shops among the customers are looked up when the first product needs them; everything
-    else is lazy, so a product reads only the columns and rows it needs.
+    Own shops among the customers are looked up when the first product needs them, and so are lists of
+    customers to narrow sales to; everything else is lazy, so a product reads only the columns and rows it
+    needs. Ids with more copies in the customer table than ``many_copies`` are joined without bringing
+    their copies together, at the price of looking for them; by default the adaptive skew join is left to it.
     """
 
     def __init__(
@@ -34,7 +33,7 @@ class Ledger:
         payments: DataFrame | None = None,
         rules: Rules = Rules(),
         broadcast_rows: int = BROADCAST_ROWS,
-        many_copies: int = MANY_COPIES,
+        many_copies: int | None = None,
     ):
         self.customers = customers
         self.sales = sales
@@ -97,26 +96,30 @@ class Ledger:
         return kept.unionByName(sales.filter(F.col("customer_id").isNull()))
 
     def orders_of(self, customer_ids: DataFrame, **restrictions) -> DataFrame:
-        """:meth:`orders`, narrowed to the given customers if their list is proven small.
+        """:meth:`orders` of the given customers alone.
 
-        Saves shuffling everybody's sales for a handful of customers. A longer list narrows
-        nothing, so join the customers to whatever is made of the sales in any case.
+        The list is written once, since it is measured and then joined; sales are always narrowed to
+        it, and its size only decides whether it is broadcast or sales are shuffled by id.
         """
-        orders = self.orders(**restrictions)
-        if may_broadcast(key_list_size(customer_ids), self.broadcast_rows):
-            return orders.join(F.broadcast(customer_ids), "customer_id", "left_semi")
-        return orders
+        ids = durable(customer_ids.filter(F.col("customer_id").isNotNull()))
+        if may_broadcast(key_list_size(ids), self.broadcast_rows):
+            ids = F.broadcast(ids)
+        return self.orders(**restrictions).join(ids, "customer_id", "left_semi")
 
     @cached_property
     def copied_ids(self) -> DataFrame | None:
         """Customer ids with very many rows in the customer table, found once per ledger.
 
-        None where there are none – ids should be unique – or where the list is not proven small.
+        None where nobody asked for it (``many_copies``) or there are none, as ids should be unique.
         """
+        if self.many_copies is None:
+            return None
         copies = self.customers.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").count()
         ids = durable(copies.filter(F.col("count") > self.many_copies).select("customer_id"))
         size = key_list_size(ids)
-        return ids if size[0] > 0 and may_broadcast(size, self.broadcast_rows) else None
+        if not may_broadcast(size, self.broadcast_rows):
+            raise ValueError(f"{size[0]} customer ids have over {self.many_copies} rows; clean the table first")
+        return ids if size[0] > 0 else None
 
     def with_contacts(self, figures: DataFrame, contacts: DataFrame, keep: str = BOTH) -> DataFrame:
         """Join one row of figures per customer with rows of the customer table.

@@ -5,14 +5,11 @@ from __future__ import annotations
 from bisect import bisect_right
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from clientela.operators.durable import durable
 
-# up to this many rows one sorting task is cheaper than the distributed form
-SINGLE_TASK_ROWS = 200_000
-
 _PARTITION_BITS = 33  # monotonically_increasing_id() is partition << 33 | position
 
 
@@ -21,24 +18,14 @@ def descending(column: Column) -> list[Column]:
     return [column.isNull(), -column]
 
 
-def add_tiles(
-    df: DataFrame,
-    keys: dict[str, list[Column]],
-    tiles: int,
-    single_task_rows: int = SINGLE_TASK_ROWS,
-) -> DataFrame:
+def add_tiles(df: DataFrame, keys: dict[str, list[Column]], tiles: int) -> DataFrame:
     """Add one tile column (1..tiles) per entry of ``keys``, each a list of ascending sort keys.
 
     The keys of an entry have to be unique together, so that tiles do not depend on chance.
-    ``df`` is counted first, so it should be cheap to read again (see :func:`durable`). A table
-    proven small is tiled by the window function. Of any other only the first key of each tile
-    is looked up, and a row's tile is the number of such keys it does not precede.
+    ``df`` is counted first, so it should be cheap to read again (see :func:`durable`). Only the first
+    key of each tile is looked up, and a row's tile is the number of such keys it does not precede.
     """
     rows = df.count()
-    if rows <= single_task_rows:
-        return df.withColumns(
-            {name: F.ntile(tiles).over(Window.orderBy(*key)) for name, key in keys.items()}
-        )
     columns = {}
     for name, key in keys.items():
         tile = F.lit(1)

@@ -37,11 +37,15 @@ def customer_rollup(orders: DataFrame, as_of: date, latest_system: bool = False)
         F.min("first_purchase").alias("first_purchase"),
         F.max("last_purchase").alias("last_purchase"),
     ]
+    keys = ["customer_id", "store", "order_id"]
+    if latest_system:  # one more key keeps the aggregation of sales a plain maximum
+        keys.append("source_system")
+        figures.append(F.max("order_ts").alias("latest"))
+    per_order = orders.groupBy(*keys).agg(*figures)
     if latest_system:
-        figures.append(F.max(F.struct("order_ts", "source_system")).alias("latest"))
-        merged.append(F.max("latest").alias("latest"))
-
-    per_order = orders.groupBy("customer_id", "store", "order_id").agg(*figures)
+        merged.append(F.max(F.struct("latest", "source_system")).alias("latest"))
+        per_order = per_order.groupBy("customer_id", "store", "order_id").agg(*merged)
+        merged[-1] = F.max("latest").alias("latest")
     # a sale without order id or without store is no order
     is_order = F.col("order_id").isNotNull() & F.col("store").isNotNull()
     per_store = per_order.groupBy("customer_id", "store").agg(

@@ -11,7 +11,6 @@ from clientela import constants as K
 from clientela.functions.contact import first_name, whatsapp_number
 from clientela.functions.numbers import mean
 from clientela.operators.ledger import FIGURES, Ledger
-from clientela.operators.ntile import SINGLE_TASK_ROWS
 from clientela.operators.rollup import customer_rollup
 from clientela.params import Bounds, Channel
 from clientela.plans.rfm import scored_customers
@@ -36,12 +35,7 @@ def campaign_custom(
     ordered: bool = True,
 ) -> DataFrame:
     """Customers within the bounds on idle days, orders and spend, biggest spenders first."""
-    chosen = customer_rollup(ledger.orders(channel=channel), as_of).filter(
-        F.col("idle_days").between(bounds.min_days, bounds.max_days)
-        & F.col("orders").between(bounds.min_orders, bounds.max_orders)
-        & (F.col("spend") >= bounds.min_spend)
-        & (F.col("spend") <= bounds.max_spend)
-    )
+    chosen = customer_rollup(ledger.orders(channel=channel), as_of).filter(bounds.predicate())
     listed = ledger.with_contacts(chosen, ledger.customers).select(
         *_PROFILE, "orders", "spend", "mean_row_value", "last_purchase", "idle_days", "stores"
     )
@@ -65,13 +59,10 @@ def campaign_rfm(
     segment: str,
     as_of: date,
     channel: Channel | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
     ordered: bool = True,
 ) -> DataFrame:
     """One segment with contact data; the mean is per sale, not per order as in the scores."""
-    members = scored_customers(
-        ledger, as_of, channel, single_task_rows=single_task_rows
-    ).filter(F.col("segment") == segment)
+    members = scored_customers(ledger, as_of, channel).filter(F.col("segment") == segment)
     listed = ledger.with_contacts(members, ledger.customers, FIGURES).select(
         *_PROFILE,
         F.col("frequency").alias("orders"),

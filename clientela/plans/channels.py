@@ -102,9 +102,15 @@ def channel_journey(ledger: Ledger, period: Period) -> DataFrame:
 def journey_matrix(journey: DataFrame, stores: list[str] | None = None) -> DataFrame:
     """Origin by destination, 0 where nobody went that way.
 
-    Without ``stores`` Spark reads the destinations off the journeys first.
+    Without ``stores`` Spark reads the destinations off the journeys first; with them, all other
+    destinations share one more column.
     """
-    matrix = journey.groupBy("origin").pivot("destination", stores).agg(F.sum("customers"))
+    columns = stores
+    if stores is not None:
+        columns = [*stores, K.OTHER_STORES]
+        listed = F.when(F.col("destination").isin(stores), F.col("destination"))
+        journey = journey.withColumn("destination", F.coalesce(listed, F.lit(K.OTHER_STORES)))
+    matrix = journey.groupBy("origin").pivot("destination", columns).agg(F.sum("customers"))
     return matrix.na.fill(0).orderBy("origin")
 
 

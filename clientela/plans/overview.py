@@ -50,7 +50,7 @@ def new_vs_returning(ledger: Ledger, period: Period, channel: Channel | None = N
         .agg(
             F.count("*").alias("total"),
             F.count_if(period.contains(first)).alias("new_customers"),
-            F.count_if(first < F.lit(period.start)).alias("returning_customers"),
+            F.count_if(period.begins_after(first)).alias("returning_customers"),
         )
     )
 

@@ -88,7 +88,7 @@ def period_buyers_new_vs_returning(ledger: Ledger, period: Period) -> DataFrame:
 
     New means that the customer's first purchase in any store is not before the period.
     """
-    start = F.lit(period.start)
+    before = period.begins_after(F.col("first_purchase"))
     return (
         _pairs_in_period(ledger, period)
         .groupBy("customer_id")
@@ -99,10 +99,10 @@ def period_buyers_new_vs_returning(ledger: Ledger, period: Period) -> DataFrame:
         .agg(
             F.count_if(F.col("pairs") > 0).alias("buyers"),
             F.coalesce(
-                F.sum(F.when(F.col("first_purchase") >= start, F.col("pairs"))), F.lit(0)
+                F.sum(F.when(~before, F.col("pairs"))), F.lit(0)
             ).alias("new_customers"),
             F.coalesce(
-                F.sum(F.when(F.col("first_purchase") < start, F.col("pairs"))), F.lit(0)
+                F.sum(F.when(before, F.col("pairs"))), F.lit(0)
             ).alias("returning_customers"),
         )
     )
@@ -121,15 +121,15 @@ def period_buyers_shares(ledger: Ledger, period: Period) -> DataFrame:
 def new_vs_returning_by_store(ledger: Ledger, period: Period) -> DataFrame:
     """Buyers of each store in the period, by whether they are new to all stores."""
     customer = Window.partitionBy("customer_id")  # one row per store
-    start = F.lit(period.start)
+    before = period.begins_after(F.col("first_purchase"))
     return (
         _pairs_in_period(ledger, period)
         .withColumn("first_purchase", F.min("first_here").over(customer))
         .filter("in_period")
         .groupBy("store")
         .agg(
-            F.count_if(F.col("first_purchase") >= start).alias("new_customers"),
-            F.count_if(F.col("first_purchase") < start).alias("returning_customers"),
+            F.count_if(~before).alias("new_customers"),
+            F.count_if(before).alias("returning_customers"),
             F.count("*").alias("total"),
         )
         .orderBy(F.desc("total"), "store")

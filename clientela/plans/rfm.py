@@ -14,7 +14,7 @@ from clientela.functions.labels import rfm_segment
 from clientela.functions.numbers import mean, rounded_ratio
 from clientela.operators.durable import durable
 from clientela.operators.ledger import FIGURES, Ledger
-from clientela.operators.ntile import SINGLE_TASK_ROWS, add_tiles, descending
+from clientela.operators.ntile import add_tiles, descending
 from clientela.operators.rollup import distinct_orders
 from clientela.params import Channel
 
@@ -24,7 +24,6 @@ def scored_customers(
     as_of: date,
     channel: Channel | None = None,
     tiles: int = K.TILES,
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Metrics, tiles and segment per customer, without contact data.
 
@@ -52,7 +51,6 @@ def scored_customers(
             "m": [F.col("value"), tie],
         },
         tiles,
-        single_task_rows,
     )
     r, f, m = F.col("r"), F.col("f"), F.col("m")
     ticket_cents = rounded_ratio("cast(value * 100 as bigint)", "frequency").cast("decimal(20,0)")
@@ -60,7 +58,7 @@ def scored_customers(
         {
             "ticket_per_order": (ticket_cents * Decimal("0.01")).cast("decimal(20,2)"),
             "rfm_code": F.concat(*(c.cast("string") for c in (r, f, m))),
-            "segment": rfm_segment(r, f, m),
+            "segment": rfm_segment(r, f, m, ledger.rules.segments),
         }
     )
 
@@ -70,11 +68,10 @@ def rfm_scores(
     as_of: date,
     channel: Channel | None = None,
     tiles: int = K.TILES,
-    single_task_rows: int = SINGLE_TASK_ROWS,
     ordered: bool = True,
 ) -> DataFrame:
     """Scores with contact data, best customers first. Customers without contact data stay."""
-    scores = scored_customers(ledger, as_of, channel, tiles, single_task_rows)
+    scores = scored_customers(ledger, as_of, channel, tiles)
     contacts = ledger.customers.select(
         "customer_id", "full_name", "email", "area_code", "phone", "birth_date"
     )
@@ -132,14 +129,18 @@ def rfm_headline(rfm: DataFrame) -> DataFrame:
     )
 
 
-def rfm_sample(rfm: DataFrame, n: int = K.SAMPLE_ROWS, seed: int = 0) -> DataFrame:
-    """A random sample of exactly ``min(n, rows)`` customers, for plotting.
+def rfm_sample(scores: DataFrame, ledger: Ledger, n: int = K.SAMPLE_ROWS, seed: int = 0) -> DataFrame:
+    """A random sample of exactly ``min(n, rows)`` scored customers, for plotting, with their names.
+
+    Names are looked up for the drawn customers only.
 
     The random order is a digest of id and seed, so a retried task draws the same customers.
     """
     draw = F.md5(F.concat(F.col("customer_id").cast("string"), F.lit(f":{seed}")))
     columns = ["customer_id", "full_name", "recency_days", "frequency", "value", "segment"]
-    return rfm.orderBy(draw, "customer_id").limit(n).select(*columns)
+    drawn = scores.select(*(c for c in columns if c != "full_name")).orderBy(draw, "customer_id").limit(n)
+    names = ledger.customers.select("customer_id", "full_name")
+    return ledger.with_contacts(drawn, names, FIGURES).select(*columns)
 
 
 def segment_members(rfm: DataFrame, segment: str) -> DataFrame:

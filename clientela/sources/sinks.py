@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -23,15 +27,36 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
+def safe_name(text: str, length: int = 30) -> str:
+    """A name of one folder: the head of the text to read, a digest of all of it to tell names apart."""
+    head = re.sub(r"[^\w-]+", "_", text)[:length].strip("_")
+    return f"{head}_{hashlib.sha256(text.encode()).hexdigest()[:8]}"
+
+
 def campaign_file_name(tag: str, as_of: date) -> str:
-    return f"{tag[:30].replace(' ', '_')}_{as_of:%Y%m%d}"
+    return f"{safe_name(tag)}_{as_of:%Y%m%d}"
 
 
 def segment_file_name(segment: str) -> str:
-    return "rfm_" + segment.lower().replace(" ", "_")
+    return f"rfm_{safe_name(segment.lower())}"
 
 
 def write_outbox(messages: DataFrame, path: str, as_of: date) -> None:
-    """Replace the messages of one day, also by none at all, and touch no other day."""
-    day = messages.drop("run_date")
-    day.write.mode("overwrite").parquet(f"{path}/run_date={as_of:%Y-%m-%d}")
+    """Replace the messages of one day, also by none at all, and touch no other day.
+
+    Messages of any other day are an error. They are written aside first and then take the place of
+    the old ones, so a run that fails leaves those as they were.
+    """
+    if not messages.filter(~F.col("run_date").eqNullSafe(F.lit(as_of))).isEmpty():
+        raise ValueError(f"there are messages of other days than {as_of:%Y-%m-%d}")
+    spark = messages.sparkSession
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs
+    day, mark = f"run_date={as_of:%Y-%m-%d}", uuid.uuid4().hex
+    aside, old = paths.Path(f"{path}/.new-{mark}"), paths.Path(f"{path}/.old-{mark}")
+    messages.drop("run_date").write.parquet(aside.toString())
+    target = paths.Path(f"{path}/{day}")
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target):
+        files.rename(target, old)
+    files.rename(aside, target)
+    files.delete(old, True)

@@ -21,7 +21,7 @@ def test_same_as_window(spark, n, values):
     df = frame(spark, n, values)
     metric, id = F.col("metric"), F.col("id")
     keys = {"up": [metric, id], "down": [*descending(metric), id]}
-    tiled = add_tiles(df, keys, 5, single_task_rows=-1)
+    tiled = add_tiles(df, keys, 5)
     both = tiled.withColumns(
         {
             "up_window": F.ntile(5).over(Window.orderBy("metric", "id")),
@@ -33,7 +33,7 @@ def test_same_as_window(spark, n, values):
 
 
 def test_tiles_differ_by_one_at_most(spark):
-    tiled = add_tiles(frame(spark, 1234, 2), {"tile": [F.col("metric"), F.col("id")]}, 7, 0)
+    tiled = add_tiles(frame(spark, 1234, 2), {"tile": [F.col("metric"), F.col("id")]}, 7)
     counts = [r["count"] for r in tiled.groupBy("tile").count().collect()]
     assert len(counts) == 7 and max(counts) - min(counts) <= 1 and sum(counts) == 1234
 
@@ -46,16 +46,9 @@ def test_one_value_spreads_over_partitions(spark):
     assert len(sizes) == 8 and max(sizes) < 20000 / 4
 
 
-def test_choice_by_size(spark):
+def test_no_sort_in_one_task(spark):
     df = frame(spark, 50, 5)
-    keys = {"a": [F.col("metric"), F.col("id")], "b": [*descending(F.col("metric")), F.col("id")]}
-    small = add_tiles(df, keys, 4)
-    large = add_tiles(df, keys, 4, single_task_rows=0)
-    assert small.columns == large.columns == ["id", "metric", "a", "b"]
-    assert sorted(small.collect()) == sorted(large.collect())
-
-    def plan(frame):
-        return frame._jdf.queryExecution().executedPlan().toString()
-
-    assert "ntile" in plan(small) and "SinglePartition" in plan(small)
-    assert "Exchange" not in plan(large)
+    tiled = add_tiles(df, {"a": [F.col("metric"), F.col("id")]}, 4)
+    assert tiled.columns == ["id", "metric", "a"]
+    plan = tiled._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan

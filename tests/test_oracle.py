@@ -11,8 +11,6 @@ from checks import queries
 from checks.compare import difference, duckdb_views
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
-from clientela.operators.ntile import add_tiles
-from clientela.plans import rfm
 from clientela.sources.star import star_ledger
 from tests.star import write_hot_star
 
@@ -32,7 +30,7 @@ def hot(tmp_path_factory):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -57,13 +55,10 @@ def test_small(spark, small, name):
 
 @pytest.fixture
 def at_scale(monkeypatch, conf):
-    """No list is small enough to broadcast or to sort in one task, every skew is worth splitting."""
+    """No list is small enough to broadcast, every skew is worth splitting."""
     monkeypatch.setattr(
         queries, "ledger", lambda *args: star_ledger(*args, broadcast_rows=0)
     )
-    monkeypatch.setattr(
-        rfm, "add_tiles", lambda df, keys, tiles, limit: add_tiles(df, keys, tiles, 0)
-    )
     conf(
         spark__sql__autoBroadcastJoinThreshold="-1",
         spark__sql__files__maxPartitionBytes="100KB",

@@ -15,14 +15,23 @@ DAY = date(2024, 3, 15)
         (K.LAST_90_DAYS, date(2023, 12, 16)),
         (K.LAST_12_MONTHS, date(2023, 3, 15)),
         (K.THIS_YEAR, date(2024, 1, 1)),
-        (K.EVERYTHING, date(2000, 1, 1)),
-        ("something else", date(2000, 1, 1)),
     ],
 )
 def test_presets(name, start):
     assert Period.preset(name, DAY) == Period(start, DAY)
 
 
+def test_everything_is_unbounded():
+    assert Period.preset(K.EVERYTHING, DAY) == Period(None, None)
+    with pytest.raises(ValueError, match="months|ends"):
+        Period(None, None).months
+
+
+def test_unknown_preset_is_an_error():
+    with pytest.raises(ValueError, match="something else"):
+        Period.preset("something else", DAY)
+
+
 def test_last_12_months_from_leap_day():
     assert Period.preset(K.LAST_12_MONTHS, date(2024, 2, 29)).start == date(2023, 2, 28)
 
@@ -37,5 +46,5 @@ def test_objectives_keep_the_other_limits():
     own = Bounds(min_days=5, max_days=6, min_orders=2, max_orders=3, min_spend=7, max_spend=8)
     assert own.for_objective(K.CUSTOM) == own
     assert own.for_objective(K.REPURCHASE) == Bounds(30, 89, 1, 3, 0, 8)
-    assert own.for_objective(K.VIP) == Bounds(0, 9999, 3, 3, 500, 8)
-    assert own.for_objective(K.REACTIVATION) == Bounds(90, 9999, 1, 3, 0, 8)
+    assert own.for_objective(K.VIP) == Bounds(0, None, 3, 3, 500, 8)
+    assert own.for_objective(K.REACTIVATION) == Bounds(90, None, 1, 3, 0, 8)

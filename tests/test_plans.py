@@ -9,7 +9,7 @@ import pytest
 from checks import queries
 from checks.queries import QUERIES
 from checks.setting import AS_OF, YEAR
-from clientela.plans import birthdays, channels, customers, overview, retention, rfm
+from clientela.plans import birthdays, campaigns, channels, customers, overview, retention, rfm
 from clientela.sources.star import star_ledger
 from clientela.sources.tables import SCHEMAS, parquet_ledger
 from tests.star import write_hot_star
@@ -135,7 +135,8 @@ def test_number_of_shuffles(spark, product, count):
 def test_no_customer_sized_data_in_one_task(spark):
     book = queries.ledger(spark, SMALL)
     for product in (
-        rfm.rfm_scores(book, AS_OF, single_task_rows=0),
+        rfm.rfm_scores(book, AS_OF),
+        campaigns.campaign_rfm(book, "At Risk", AS_OF),
         retention.repurchase_interval(book, YEAR),
         channels.channel_journey(book, YEAR),
         customers.customer_base(book, YEAR, AS_OF),
@@ -174,4 +175,12 @@ def test_long_lists_are_not_broadcast(spark, conf, hot):
     assert few.orders().count() == many.orders().count()
     run = date(2000, 1, 1)
     assert "LeftSemi" in physical(birthdays.birthday_outbox(few, run))
-    assert "LeftSemi" not in physical(birthdays.birthday_outbox(many, run))
+    assert "LeftSemi" in physical(birthdays.birthday_outbox(many, run))
+
+
+def test_month_of_birthdays_needs_no_sort_over_sales(spark):
+    plan = physical(birthdays.birthdays_of_month(queries.ledger(spark, SMALL), 8, AS_OF, ordered=False))
+    assert "LeftSemi" in plan
+    # the two levels of one row per customer, store and system, and no more
+    lowest = plan.rindex("HashAggregate(keys=[customer_id")
+    assert "SortAggregate" not in plan[lowest:]

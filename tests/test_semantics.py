@@ -221,6 +221,8 @@ def test_journey_ties_and_missing_store(book):
     assert values(journey, "origin", "destination", "customers") == [("Norte", "Sul", 1)]
     assert values(channels.journey_share(journey), "share") == ["100.0%"]
     assert channels.journey_matrix(journey).columns == ["origin", "Sul"]
+    listed = channels.journey_matrix(journey, ["Norte"])
+    assert values(listed, *listed.columns) == [("Norte", 0, 1)] and listed.columns[-1] == "Outras lojas"
 
 
 def test_omnichannel_profiles(book):
@@ -305,7 +307,18 @@ def test_rfm_keeps_customers_without_contact_data(book):
         ("1", 150, 2, Decimal("20.01"), Decimal("10.01"), "Ana Lima"),
         ("2", 29, 1, Decimal("5.00"), Decimal("5.00"), None),
     ]
-    assert rfm.rfm_sample(scores, 1).count() == 1 and rfm.rfm_sample(scores).count() == 2
+    assert rfm.rfm_sample(scores, ledger, 1).count() == 1
+    assert sorted(values(rfm.rfm_sample(scores, ledger), "customer_id", "full_name")) == [("1", "Ana Lima"), ("2", None)]
+
+
+def test_big_spenders_and_old_customers_stay_listed(book):
+    people = [person("1"), person("2"), person("3")]
+    sales = [sale("1", "a", "2024-06-01", total="12000000"), sale("2", "b", "1990-01-01", total="600")]
+    sales += [sale("3", f"o{i}", "2024-06-01", total="1") for i in range(600)]
+    ledger = book(people, sales)
+    assert sorted(values(campaigns.campaign_custom(ledger, AS_OF), "customer_id")) == ["1", "2", "3"]
+    assert values(campaigns.campaign_list(ledger, "Reativação (inativos)", AS_OF), "customer_id") == ["2"]
+    assert values(campaigns.campaign_list(ledger, "VIPs / Champions", AS_OF), "customer_id") == ["3"]
 
 
 def test_campaigns(book):
@@ -435,7 +448,7 @@ def test_conform_keeps_leading_zeros(spark):
     assert values(df, "customer_id", "phone") == [("007", "999887766")]
 
 
-@pytest.mark.parametrize("copies", [100_000, 1])
+@pytest.mark.parametrize("copies", [None, 100_000, 1])
 def test_copies_of_a_customer(book, copies):
     """An id with many copies, among them the empty one, takes another way to the same rows."""
     born = date(1990, 6, 9)
@@ -448,7 +461,7 @@ def test_copies_of_a_customer(book, copies):
     ]
     sales = [sale(i, f"o{i}", "2024-03-01") for i in ("1", "2", "", "5")]
     ledger = book(people, sales, many_copies=copies)
-    assert (ledger.copied_ids is None) == (copies == 100_000)
+    assert (ledger.copied_ids is None) == (copies != 1)
 
     ids = lambda df: sorted(values(df, "customer_id"), key=str)
     buyers = ["", "", "", "1", "2", "2", "2"]

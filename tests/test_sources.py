@@ -110,9 +110,19 @@ def test_outbox_rerun_replaces_its_day_only(spark, tmp_path):
 
 def test_file_names():
     day = date(2024, 3, 5)
-    assert campaign_file_name("Volta às aulas", day) == "Volta_às_aulas_20240305"
-    assert campaign_file_name("x" * 40, day) == "x" * 30 + "_20240305"
-    assert segment_file_name("At Risk") == "rfm_at_risk"
+    name = campaign_file_name("Volta às aulas", day)
+    assert name.startswith("Volta_às_aulas_") and name.endswith("_20240305")
+    long = "Reativação de clientes inativos Maio "
+    assert campaign_file_name(long + "A", day) != campaign_file_name(long + "B", day)
+    assert "/" not in campaign_file_name("VIPs / Champions", day)
+    assert segment_file_name("At Risk").startswith("rfm_at_risk_")
+
+
+def test_outbox_refuses_other_days(spark, tmp_path):
+    first, second = date(2024, 3, 4), date(2024, 3, 5)
+    messages = spark.createDataFrame([(first, "1"), (second, "2")], "run_date date, whatsapp string")
+    with pytest.raises(ValueError, match="other days"):
+        write_outbox(messages, str(tmp_path / "outbox"), second)
 
 
 class Session:
