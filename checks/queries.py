@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.setting import AS_OF, BIRTHDAY_RUN, CUSTOMER, EVE, LONG, MID_MONTH, STORES, YEAR
+from checks.setting import AS_OF, BIRTHDAY_RUN, CUSTOMER, EVE, LEAP_EVE, LONG, MID_MONTH, STORES, YEAR
 from clientela import constants as K
 from clientela.functions.contact import first_name, phone_digits, whatsapp_number
 from clientela.functions.numbers import format_brl, format_count
-from clientela.operators.durable import durable, ensure_checkpoint_dir
+from clientela.operators.durable import durable, session_folder
 from clientela.operators.ledger import AS_NOT_IN, DROP, KEEP, Ledger
 from clientela.operators.ntile import add_tiles
 from clientela.params import ONLINE, PHYSICAL, SEGMENTS_NARROW_FIRST, Bounds, Channel, Period
@@ -120,7 +120,7 @@ def _narrow_first(book: Ledger) -> DataFrame:
 
 def _folder(book: Ledger) -> str:
     """A new folder beside the other intermediate tables."""
-    return f"{ensure_checkpoint_dir(book.sales.sparkSession)}/clientela-{uuid.uuid4().hex}"
+    return f"{session_folder(book.sales.sparkSession)}/{uuid.uuid4().hex}"
 
 
 def _warehouse(book: Ledger) -> DataFrame:
@@ -288,5 +288,20 @@ QUERIES: dict[str, Query] = {
     "csv_list": _on(_csv_list),
     "outbox_written": _on(_outbox_written),
     "period_custom": _by_store(KEEP, Period.custom(AS_OF)),
+    "customer_search_literal": _on(
+        lambda b: customers.customer_search(
+            _base(b), name="CUSTOMER#0", email="@example", phone="91", order_by="idle_days", literal=True
+        )
+    ),
+    "repurchase_interval_same_store": _on(lambda b: retention.repurchase_interval(b, LONG, same_store=True)),
+    "period_buyers_per_customer": _on(
+        lambda b: retention.period_buyers_new_vs_returning(b, YEAR, per="customer")
+    ),
+    "new_customers_by_part_month": _on(
+        lambda b: overview.new_customers_by_month(b, MID_MONTH, full_months=False)
+    ),
+    "birthday_outbox_leap_births": _on(
+        lambda b: birthdays.birthday_outbox(b, LEAP_EVE, leap_births_on_28=True)
+    ),
     "duplicate_customers": _on(lambda b: duplicate_customers(b.sales)),
 }

@@ -11,4 +11,5 @@ LONG = Period(date(1995, 1, 15), date(2001, 8, 1))  # more months than one bit s
 STORES = ["Online", "Store North", "Store South"]
 CUSTOMER = 84
 BIRTHDAY_RUN = date(2001, 7, 20)
+LEAP_EVE = date(2001, 2, 21)  # seven days before 28 February of a year without a 29th
 EVE = date(2000, 12, 28)  # seven days before a birthday in the next year

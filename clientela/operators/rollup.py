@@ -16,6 +16,29 @@ def distinct_orders() -> Column:
     return F.count_distinct("order_id", "store")
 
 
+def sales_figures(orders: DataFrame, *keys: str) -> DataFrame:
+    """Customers, orders, revenue, mean row and discount of all sales, or for each value of ``keys``.
+
+    Customers and orders are counted in a branch each, reduced before it is shuffled, and the two meet
+    as one row for each key; counting both sets at once would shuffle every sale three times over.
+    """
+    sums = {"revenue": "order_total", "discount": "discount"}
+    per_customer = orders.groupBy(*keys, "customer_id").agg(
+        *(F.sum(c).alias(n) for n, c in sums.items()), F.count("order_total").alias("priced_rows")
+    )
+    customers = per_customer.groupBy(*keys).agg(
+        F.count("customer_id").alias("customers"), *(F.sum(n).alias(n) for n in (*sums, "priced_rows"))
+    )
+    pairs = orders.filter("order_id IS NOT NULL AND store IS NOT NULL")
+    parts = list(dict.fromkeys((*keys, "order_id", "store")))
+    per_order = pairs.select(*parts).distinct().groupBy(*keys).agg(F.count("*").alias("orders"))
+    both = customers.unionByName(per_order, allowMissingColumns=True)
+    counted = both.groupBy(*keys).agg(
+        *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("customers", "orders")), *(F.sum(n).alias(n) for n in (*sums, "priced_rows"))
+    )
+    return counted.select(*keys, "customers", "orders", "revenue", mean(F.col("revenue"), F.col("priced_rows")).alias("mean_row_value"), "discount")
+
+
 def customer_rollup(orders: DataFrame, as_of: date, latest_system: bool = False) -> DataFrame:
     """Orders, spend, mean row, first and last purchase, idle days and stores of each customer.
 

@@ -55,13 +55,10 @@ def birthdays_of_month(
 
 
 def birthday_metrics(birthdays: DataFrame, as_of: date) -> DataFrame:
-    """Size of the list, birthdays on this day of the month, how many can be reached by phone.
-
-    "Today" compares the day of the month alone, also when another month is listed.
-    """
+    """Size of the list, birthdays today by month and day, how many can be reached by phone."""
     return birthdays.agg(
         F.count("*").alias("customers"),
-        F.count_if(F.col("birth_day") == as_of.day).alias("today"),
+        F.count_if((F.col("birth_day") == as_of.day) & (F.month("birth_date") == as_of.month)).alias("today"),
         F.count_if(F.col("whatsapp") != "").alias("with_whatsapp"),
     )
 
@@ -70,15 +67,20 @@ def birthday_histogram(birthdays: DataFrame) -> DataFrame:
     return birthdays.groupBy("birth_day").agg(F.count("*").alias("customers")).orderBy("birth_day")
 
 
-def birthday_outbox(ledger: Ledger, as_of: date, lead_days: int = K.LEAD_DAYS) -> DataFrame:
+def birthday_outbox(
+    ledger: Ledger, as_of: date, lead_days: int = K.LEAD_DAYS, leap_births_on_28: bool = False
+) -> DataFrame:
     """Messages due on ``as_of``: buyers with a phone whose birthday is ``lead_days`` ahead.
 
     The latest system is found on one row per customer and system, so no sale-sized sort runs.
-    Births on 29 February come up in leap years only.
+    Births on 29 February come up in leap years only, or else with ``leap_births_on_28`` on the 28th.
     """
     target = as_of + timedelta(days=lead_days)
+    days = [target.day]
+    if leap_births_on_28 and (target + timedelta(days=1)).strftime("%m%d") == "0301" and target.day == 28:
+        days.append(29)
     born = ledger.customers.filter(
-        (F.month("birth_date") == target.month) & (F.dayofmonth("birth_date") == target.day)
+        (F.month("birth_date") == target.month) & F.dayofmonth("birth_date").isin(days)
     ).select(
         "customer_id",
         "full_name",

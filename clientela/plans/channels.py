@@ -6,35 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientela import constants as K
-from clientela.functions.numbers import format_share, mean, percent
+from clientela.functions.numbers import format_share, percent
 from clientela.operators.ledger import KEEP, Ledger
-from clientela.operators.rollup import distinct_orders
+from clientela.operators.rollup import distinct_orders, sales_figures
 from clientela.params import Period
 
 
 def channel_kpis(ledger: Ledger, period: Period) -> DataFrame:
     """Figures per store and source system, anonymous sales included, by revenue."""
-    return (
-        ledger.orders(period, anonymous=KEEP)
-        .groupBy("store", "source_system")
-        .agg(
-            F.count_distinct("customer_id").alias("customers"),
-            distinct_orders().alias("orders"),
-            F.sum("order_total").alias("revenue"),
-            F.count("order_total").alias("priced_rows"),
-            F.sum("discount").alias("discount"),
-        )
-        .select(
-            "store",
-            "source_system",
-            "customers",
-            "orders",
-            "revenue",
-            mean(F.col("revenue"), F.col("priced_rows")).alias("mean_row_value"),
-            "discount",
-        )
-        .orderBy(F.desc("revenue"), "store", "source_system")
-    )
+    figures = sales_figures(ledger.orders(period, anonymous=KEEP), "store", "source_system")
+    return figures.orderBy(F.desc("revenue"), "store", "source_system")
 
 
 def channel_monthly(ledger: Ledger, period: Period) -> DataFrame:

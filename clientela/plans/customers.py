@@ -61,18 +61,19 @@ def customer_search(
     min_orders: int = 1,
     only_phone: bool = False,
     order_by: str = "spend",
+    literal: bool = False,
 ) -> DataFrame:
-    """Narrow the base down. Name, e-mail and phone are regular expressions, case matters in none
-    of the first two. ``stores`` match anywhere in the customer's list of stores. ``order_by`` is
+    """Narrow the base down. Name, e-mail and phone are regular expressions, or plain text to be
+    contained if ``literal``; case matters in none of the first two. ``stores`` match anywhere in the customer's list of stores. ``order_by`` is
     ``spend``, ``orders``, ``idle_days`` (all descending) or ``full_name``.
     """
     found = base.filter(F.col("orders") >= min_orders)
-    if name:
-        found = found.filter(_matches("full_name", f"(?iu){name}"))
-    if email:
-        found = found.filter(_matches("email", f"(?iu){email}"))
-    if phone:
-        found = found.filter(_matches("phone_digits", phone))
+    for column, sought, cased in (("full_name", name, False), ("email", email, False), ("phone_digits", phone, True)):
+        if sought and literal:
+            text, part = (F.col(column), F.lit(sought)) if cased else (F.lower(column), F.lower(F.lit(sought)))
+            found = found.filter(F.coalesce(F.contains(text, part), F.lit(False)))
+        elif sought:
+            found = found.filter(_matches(column, sought if cased else f"(?iu){sought}"))
     if stores:
         found = found.filter(reduce(or_, (F.col("stores").contains(s) for s in stores)))
     if only_phone:

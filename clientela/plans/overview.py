@@ -7,31 +7,15 @@ from pyspark.sql import functions as F
 
 from clientela import constants as K
 from clientela.functions.labels import category_label, channel_label
-from clientela.functions.numbers import mean, percent
+from clientela.functions.numbers import percent
 from clientela.operators.ledger import AS_NOT_IN, KEEP, Ledger
-from clientela.operators.rollup import distinct_orders
+from clientela.operators.rollup import sales_figures
 from clientela.params import Channel, Period
 
 
 def overview_kpis(ledger: Ledger, period: Period, channel: Channel | None = None) -> DataFrame:
     """Identified customers, orders, revenue, mean sale and discount; anonymous sales included."""
-    return (
-        ledger.orders(period, channel, anonymous=KEEP)
-        .agg(
-            F.count_distinct("customer_id").alias("customers"),
-            distinct_orders().alias("orders"),
-            F.sum("order_total").alias("revenue"),
-            F.count("order_total").alias("priced_rows"),
-            F.sum("discount").alias("discount"),
-        )
-        .select(
-            "customers",
-            "orders",
-            "revenue",
-            mean(F.col("revenue"), F.col("priced_rows")).alias("mean_row_value"),
-            "discount",
-        )
-    )
+    return sales_figures(ledger.orders(period, channel, anonymous=KEEP))
 
 
 def new_vs_returning(ledger: Ledger, period: Period, channel: Channel | None = None) -> DataFrame:
@@ -122,19 +106,21 @@ def top_categories(
 
 
 def new_customers_by_month(
-    ledger: Ledger, period: Period, channel: Channel | None = None
+    ledger: Ledger, period: Period, channel: Channel | None = None, full_months: bool = True
 ) -> DataFrame:
     """Customers by month of their first purchase ever.
 
-    The first day of that month has to lie in the period, so a period starting in mid-month
-    leaves that month out.
+    With ``full_months`` the first day of that month has to lie in the period, so a period starting in
+    mid-month leaves that month out; without, the day of the first purchase has to.
     """
+    first = F.col("first_purchase")
+    month = F.trunc(first, "MM")
     return (
         ledger.orders(channel=channel)
         .groupBy("customer_id")
-        .agg(F.trunc(F.min("day"), "MM").alias("month"))
-        .filter(period.contains(F.col("month")))
-        .groupBy("month")
+        .agg(F.min("day").alias("first_purchase"))
+        .filter(period.contains(month if full_months else first))
+        .groupBy(month.alias("month"))
         .agg(F.count("*").alias("new_customers"))
         .orderBy("month")
     )

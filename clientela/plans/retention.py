@@ -83,18 +83,23 @@ def _pairs_in_period(ledger: Ledger, period: Period) -> DataFrame:
     )
 
 
-def period_buyers_new_vs_returning(ledger: Ledger, period: Period) -> DataFrame:
-    """Buyers of the period; new and returning are counted per customer and store.
+def period_buyers_new_vs_returning(ledger: Ledger, period: Period, per: str = "store") -> DataFrame:
+    """Buyers of the period; new and returning are counted per customer and store, or per ``customer``.
 
     New means that the customer's first purchase in any store is not before the period.
     """
+    if per not in ("store", "customer"):
+        raise ValueError(f"buyers are counted per store or customer, not per {per!r}")
+    pairs = F.count_if("in_period")
+    if per == "customer":
+        pairs = F.least(pairs, F.lit(1))
     before = period.begins_after(F.col("first_purchase"))
     return (
         _pairs_in_period(ledger, period)
         .groupBy("customer_id")
         .agg(
             F.min("first_here").alias("first_purchase"),
-            F.count_if("in_period").alias("pairs"),
+            pairs.alias("pairs"),
         )
         .agg(
             F.count_if(F.col("pairs") > 0).alias("buyers"),
@@ -143,9 +148,11 @@ def new_vs_returning_by_store_long(by_store: DataFrame) -> DataFrame:
     return long.select("store", kind.alias("kind"), "customers")
 
 
-def repurchase_interval(ledger: Ledger, period: Period) -> DataFrame:
+def repurchase_interval(ledger: Ledger, period: Period, same_store: bool = False) -> DataFrame:
     """Mean days between consecutive purchases of a customer, under the store of the later one.
 
+    With ``same_store`` the purchase before is the one before in that store.
+
     Sales of one customer, day and store are merged before the window: only the first sale of a
     day can lie days after the one before it, all others lie zero days after. The window then
     holds at most one row per day and store of a customer, however many sales there are. Sales
@@ -156,7 +163,8 @@ def repurchase_interval(ledger: Ledger, period: Period) -> DataFrame:
         .groupBy("customer_id", "day", "store")
         .agg(F.count("*").alias("sales"), F.min("order_ts").alias("first_ts"))
     )
-    in_time = Window.partitionBy("customer_id").orderBy("day", "first_ts", "store")
+    buyer = ["customer_id", "store"] if same_store else ["customer_id"]
+    in_time = Window.partitionBy(*buyer).orderBy("day", "first_ts", "store")
     before = F.lag("day").over(in_time)
     return (
         merged.select(

@@ -178,6 +178,12 @@ def test_long_lists_are_not_broadcast(spark, conf, hot):
     assert "LeftSemi" in physical(birthdays.birthday_outbox(many, run))
 
 
+def test_two_kinds_of_distinct_rows_are_not_multiplied(spark):
+    book = queries.ledger(spark, SMALL, True)
+    for product in (overview.overview_kpis(book, YEAR), channels.channel_kpis(book, YEAR)):
+        assert "Expand" not in physical(product)
+
+
 def test_month_of_birthdays_needs_no_sort_over_sales(spark):
     plan = physical(birthdays.birthdays_of_month(queries.ledger(spark, SMALL), 8, AS_OF, ordered=False))
     assert "LeftSemi" in plan

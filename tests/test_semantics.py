@@ -363,7 +363,8 @@ def test_latest_system(book):
     born = birthdays.birthdays_of_month(ledger, 6, AS_OF, only_buyers=False)
     columns = ("customer_id", "birth_day", "latest_system", "orders", "stores")
     assert values(born, *columns) == [("2", 8, None, None, None), ("1", 9, None, 2, "Norte")]
-    assert values(birthdays.birthday_metrics(born, date(2024, 7, 8)), "customers", "today") == [(2, 1)]
+    assert values(birthdays.birthday_metrics(born, date(2024, 7, 8)), "customers", "today") == [(2, 0)]
+    assert values(birthdays.birthday_metrics(born, date(2024, 6, 8)), "customers", "today") == [(2, 1)]
     outbox = birthdays.birthday_outbox(ledger, date(2024, 6, 2))
     assert values(outbox, "channel") == ["loja"]
 
