@@ -114,7 +114,7 @@ def needs_decoding(word: str) -> bool:
     """Whether a lattice of the word has more than one path worth weighing."""
     signs = sum(c in LEET for c in word)
     letters = sum(c.isalpha() for c in word)
-    return bool(signs and letters >= signs or _RUN.search(word) or _SPACED.match(word))
+    return bool(signs and 2 * letters >= signs or _RUN.search(word) or _SPACED.match(word))
 
 
 def trimmed(token: str) -> str:
