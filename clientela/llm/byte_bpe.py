@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 
 from clientela.llm.shared import documents_of, slices
 
-SLICE = 2 << 20
-# pieces that one recursive query contracts, and pieces whose ids a worker remembers
-PIECES_A_QUERY, REMEMBERED = 20_000, 150_000
+SLICE = 3 << 20
+# pieces that one recursive query contracts, and pieces after which a worker begins to forget
+PIECES_A_QUERY, REMEMBERED = 20_000, 120_000
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 _DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
@@ -43,9 +44,14 @@ WITH RECURSIVE tokens AS (
 SELECT w, list(id ORDER BY k) AS ids
 FROM tokens JOIN (SELECT w, max(step) AS step FROM tokens GROUP BY w) USING (w, step) GROUP BY w
 """
+# one thread adds up the texts in the order of the rows beneath
 DECODE = """
-SELECT d, string_agg(v.text, '' ORDER BY pos) AS text
-FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM docs) t JOIN vocabulary v USING (id)
+SELECT d, string_agg(text, '') AS text
+FROM (
+  SELECT d, v.text
+  FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM docs) t JOIN vocabulary v USING (id)
+  ORDER BY d * 4294967296 + pos
+)
 GROUP BY d
 """
 
@@ -56,15 +62,30 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
+def _lists(sizes: list[int], values: np.ndarray) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and values of all lists, one after another."""
+    sizes = np.asarray(pa.compute.list_value_length(lists).combine_chunks())
+    values = pa.compute.list_flatten(lists).combine_chunks()
+    return np.concatenate(([0], np.cumsum(sizes))), np.asarray(values)
+
+
 class _Engine:
     """A worker's DuckDB with the vocabulary and the merge table, and the pieces it has met lately."""
 
     def __init__(self, content: bytes, pattern: str):
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
-        self.ranks, self.pattern, self.known = ranks, regex.compile(pattern), {}
-        self.of_byte = [ranks[bytes([b])] for b in range(256)]
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        # ids of pieces as bytes; when ``known`` is full it becomes ``before``, and what is met again returns
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '400MB'; SET preserve_insertion_order = false")
+        self.db.execute("SET threads = 1; SET memory_limit = '300MB'; SET preserve_insertion_order = false")
         pairs = [(a, b, rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
         self.table("vocabulary", id=pa.array(ranks.values(), pa.int32()), text=pa.array([t.decode("latin-1") for t in ranks]))
         self.table("merges", pair=pa.array([a << 32 | b for a, b, _ in pairs], pa.int64()), merged=pa.array([r for *_, r in pairs], pa.int64()))
@@ -82,24 +103,30 @@ class _Engine:
             if whole is None:
                 hard.append((piece, raw))
             else:
-                self.known[piece] = [whole]
+                self.known[piece] = np.int32(whole).tobytes()
         for i in range(0, len(hard), PIECES_A_QUERY):
             some = hard[i : i + PIECES_A_QUERY]
-            self.table("pieces", w=pa.array(range(len(some)), pa.int64()), ids=pa.array([[self.of_byte[b] for b in raw] for _, raw in some], pa.list_(pa.int64())))
-            done = self.db.sql(CONTRACT).to_arrow_table()
-            for w, ids in zip(done.column("w").to_pylist(), done.column("ids").to_pylist()):
-                self.known[some[w][0]] = ids
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+            ids = self.of_byte[np.frombuffer(b"".join(raw for _, raw in some), np.uint8)]
+            self.table("pieces", w=pa.array(np.arange(len(some))), ids=_lists([len(raw) for _, raw in some], ids))
+            done = self.db.sql(CONTRACT).to_arrow_table().combine_chunks()
+            ends, values = _flat(done.column("ids"))
+            packed = values.astype(np.int32).tobytes()
+            for w, low, high in zip(done.column("w").to_pylist(), (4 * ends[:-1]).tolist(), (4 * ends[1:]).tolist()):
+                self.known[some[w][0]] = packed[low:high]
+
+    def encode(self, texts: list[str]) -> pa.Array:
         found = [self.pattern.findall(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         new = set().union(*found).difference(self.known)
-        self.contract(list(new))
-        return [[i for piece in pieces for i in self.known[piece]] for pieces in found]
+        again = new & self.before.keys()
+        self.known.update((p, self.before[p]) for p in again)
+        self.contract(list(new - again))
+        encoded = [b"".join(map(self.known.__getitem__, pieces)) for pieces in found]
+        return _lists([len(e) // 4 for e in encoded], np.frombuffer(b"".join(encoded), np.int32))
 
     def decode(self, ids: pa.Array) -> list[bytes]:
-        self.table("docs", d=pa.array(range(len(ids)), pa.int32()), ids=ids)
+        self.table("docs", d=pa.array(range(len(ids)), pa.int64()), ids=ids)
         done = self.db.sql(DECODE).to_arrow_table()
         out = [b""] * len(ids)
         for d, text in zip(done.column("d").to_pylist(), done.column("text").to_pylist()):
@@ -123,7 +150,7 @@ def encode(documents: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
         engine = _engine(ranks, pattern)
         for part in slices(batches, "text", SLICE):
             ids = engine.encode(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], schema=_ENCODED)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids.cast(_ENCODED.field("ids").type)], schema=_ENCODED)
 
     return documents_of(documents).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -141,7 +168,7 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def _by_length(whole: pa.RecordBatch, limit: int = SLICE // 4) -> Iterator[pa.RecordBatch]:
+def _by_length(whole: pa.RecordBatch, limit: int = 500_000) -> Iterator[pa.RecordBatch]:
     start, held = 0, 0
     for i, n in enumerate(pa.compute.list_value_length(whole.column("ids")).fill_null(0).to_pylist()):
         if i > start and held + n > limit:
