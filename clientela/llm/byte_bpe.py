@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from clientela.llm.shared import documents_of, slices
 
-SLICE = 3 << 20
-# pieces that one recursive query contracts, and pieces after which a worker begins to forget
-PIECES_A_QUERY, REMEMBERED = 20_000, 120_000
+SLICE = 2 << 20
+# bytes that one recursive query contracts and rows it may keep, and pieces after which a worker forgets
+QUERY_BYTES, QUERY_ROWS, REMEMBERED = 200_000, 6_000_000, 100_000
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 _DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
@@ -39,9 +39,9 @@ WITH RECURSIVE tokens AS (
       GROUP BY a.w
     )
   ) s ON s.w = t.w
-  WHERE k <> first + 1
+  WHERE k <> first + 1 AND step < {steps}
 )
-SELECT w, list(id ORDER BY k) AS ids
+SELECT w, list(id ORDER BY k) AS ids, any_value(step) AS step
 FROM tokens JOIN (SELECT w, max(step) AS step FROM tokens GROUP BY w) USING (w, step) GROUP BY w
 """
 # one thread adds up the texts in the order of the rows beneath
@@ -85,7 +85,7 @@ class _Engine:
         self.before: dict[str, bytes] = {}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '300MB'; SET preserve_insertion_order = false")
+        self.db.execute("SET threads = 1; SET memory_limit = '250MB'; SET preserve_insertion_order = false")
         pairs = [(a, b, rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
         self.table("vocabulary", id=pa.array(ranks.values(), pa.int32()), text=pa.array([t.decode("latin-1") for t in ranks]))
         self.table("merges", pair=pa.array([a << 32 | b for a, b, _ in pairs], pa.int64()), merged=pa.array([r for *_, r in pairs], pa.int64()))
@@ -97,22 +97,28 @@ class _Engine:
 
     def contract(self, pieces: list[str]) -> None:
         """Remember the ids of pieces; one that is a token as a whole is that token."""
-        hard = []
+        open_pieces: list[tuple[str, np.ndarray]] = []
         for piece in pieces:
             whole = self.ranks.get(raw := piece.encode())
             if whole is None:
-                hard.append((piece, raw))
+                open_pieces.append((piece, self.of_byte[np.frombuffer(raw, np.uint8)]))
             else:
                 self.known[piece] = np.int32(whole).tobytes()
-        for i in range(0, len(hard), PIECES_A_QUERY):
-            some = hard[i : i + PIECES_A_QUERY]
-            ids = self.of_byte[np.frombuffer(b"".join(raw for _, raw in some), np.uint8)]
-            self.table("pieces", w=pa.array(np.arange(len(some))), ids=_lists([len(raw) for _, raw in some], ids))
-            done = self.db.sql(CONTRACT).to_arrow_table().combine_chunks()
+        while open_pieces:  # a query takes a bounded number of steps; what is not at its end goes on
+            some, size = [], 0
+            while open_pieces and (not some or size + len(open_pieces[-1][1]) <= QUERY_BYTES):
+                some.append(open_pieces.pop())
+                size += len(some[-1][1])
+            steps = max(1, QUERY_ROWS // size)
+            self.table("pieces", w=pa.array(np.arange(len(some))), ids=_lists([len(ids) for _, ids in some], np.concatenate([ids for _, ids in some])))
+            done = self.db.sql(CONTRACT.format(steps=steps)).to_arrow_table().combine_chunks()
             ends, values = _flat(done.column("ids"))
             packed = values.astype(np.int32).tobytes()
-            for w, low, high in zip(done.column("w").to_pylist(), (4 * ends[:-1]).tolist(), (4 * ends[1:]).tolist()):
-                self.known[some[w][0]] = packed[low:high]
+            for w, step, low, high in zip(done.column("w").to_pylist(), done.column("step").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                if step < steps:
+                    self.known[some[w][0]] = packed[4 * low : 4 * high]
+                else:
+                    open_pieces.append((some[w][0], values[low:high].astype(np.int64)))
 
     def encode(self, texts: list[str]) -> pa.Array:
         found = [self.pattern.findall(t) for t in texts]
