@@ -88,7 +88,10 @@ def signatures_of(elements: np.ndarray, index: int, band: Band) -> np.ndarray:
 
 _MEMBER = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
 _SIGNATURE = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
-_SET = pa.schema([("doc_id", pa.int64()), ("elements", pa.binary())])
+# numbers of 64 bits in a sketch
+SKETCH = 8
+_SET = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), *[(f"s{i}", pa.int64()) for i in range(SKETCH)], ("elements", pa.binary())])
+_SET_DDL = "doc_id long, size long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", elements binary"
 
 
 def _members(width: int):
@@ -134,12 +137,30 @@ def _signatures(width: int, bands: list[Band]):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            made = [s.tobytes() for s in sets_of(texts_of(part.column("text")), width)]
-            yield batch(_SET, part.column("doc_id"), made)
+            made = list(sets_of(texts_of(part.column("text")), width))
+            sketches = np.array([sketch_of(s) for s in made]).view(np.int64)
+            yield batch(_SET, part.column("doc_id"), [len(s) for s in made], *sketches.T, [s.tobytes() for s in made])
 
     return run
 
 
+def sketch_of(elements: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of elements in ``64 * SKETCH`` cells.
+
+    Each element that one of two sets has alone changes one bit: they differ in as many elements, at
+    least, as their sketches in bits.
+    """
+    cells = np.bincount((mix(elements) >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.uint64)
+
+
+def _may_link(limit: Fraction) -> str:
+    """Condition on sizes and sketches of two sets that every linked pair fulfils."""
+    top, low = limit.numerator, limit.denominator
+    bits = " + ".join(f"bit_count(s{i} ^ o{i})" for i in range(SKETCH))
+    return f"{low} * least(size, other_size) >= {top} * greatest(size, other_size) AND {low + top} * ({bits}) <= {low - top} * (size + other_size)"
+
+
 def _verify(threshold: Fraction):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_())])
     top, low = threshold.numerator, threshold.denominator
@@ -162,7 +183,7 @@ def _cross(members: DataFrame) -> DataFrame:
     return members.join(spans.select("sig"), "sig", "left_semi")
 
 
-def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8", chain_rounds: int = 6) -> DataFrame:
+def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8", chain_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id): classes of documents linked at ``threshold`` or more.
 
     Documents are linked if the Jaccard similarity of their sets of ``width``-word shingles reaches
@@ -172,9 +193,9 @@ def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8"
     same document. Other columns are ignored, an empty table gives no rows.
 
     Equal sets are one set for the join. Sets that share a signature are compared along chains over
-    random orders until a signature's sets are in one class or few pairs across classes are left;
-    then all of those are compared. So no link between classes is missed, and a large group of near
-    copies costs a few comparisons each, not all pairs.
+    random orders, ``chain_rounds`` times or until few pairs across classes are left; then all of
+    those are looked at, and compared where sizes and sketches do not rule a link out. So no link
+    between classes is missed, and a large group of near copies costs a few comparisons each, not all pairs.
     """
     limit = Fraction(threshold)
     docs = documents_of(documents)
@@ -210,14 +231,17 @@ def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8"
     crowd = Window.partitionBy("sig")
     shared = stored(shared.withColumn("n", F.count("*").over(crowd)).filter("n > 1").select("sig", "doc_id"))
     wanted = shared.select("doc_id").distinct()
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, elements binary"))
+    sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), _SET_DDL))
+    marks = ["size", *[f"s{i}" for i in range(SKETCH)]]
+    others = ["other_size", *[f"o{i}" for i in range(SKETCH)]]
+    shared = stored(shared.join(sets.select("doc_id", *marks), "doc_id"))
 
     classes, links, checked = None, None, None
     for turn in range(chain_rounds + 1):
         named = shared.withColumn("class", F.col("doc_id"))
         if classes is not None:
             named = shared.join(classes, F.col("doc_id") == F.col("node"), "left")
-            named = named.select("sig", "doc_id", F.coalesce("component", "doc_id").alias("class"))
+            named = named.select("sig", "doc_id", *marks, F.coalesce("component", "doc_id").alias("class"))
             named = _cross(named)
         named = stored(named)
         size = named.groupBy("sig", "class").count().groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
@@ -226,12 +250,13 @@ def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8"
             break
         last = turn == chain_rounds or left <= 2 * rows
         if last:
-            other = named.select("sig", F.col("doc_id").alias("w"), F.col("class").alias("other"))
-            pairs = named.join(other, "sig").filter("class < other").select("doc_id", "w")
+            other = named.select("sig", F.col("doc_id").alias("w"), F.col("class").alias("other"), *[F.col(a).alias(b) for a, b in zip(marks, others)])
+            pairs = named.join(other, "sig").filter("class < other").filter(_may_link(limit)).select("doc_id", "w")
         else:
             chain = Window.partitionBy("sig").orderBy(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
             pairs = named.withColumn("w", F.lead("doc_id").over(chain)).withColumn("other", F.lead("class").over(chain))
-            pairs = pairs.filter("class <> other").select("doc_id", "w")
+            pairs = pairs.withColumns({b: F.lead(a).over(chain) for a, b in zip(marks, others)})
+            pairs = pairs.filter("class <> other").filter(_may_link(limit)).select("doc_id", "w")
         pairs = pairs.select(F.least("doc_id", "w").alias("u"), F.greatest("doc_id", "w").alias("v")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["u", "v"], "left_anti")
