@@ -1,6 +1,7 @@
 """Benchmark decontamination by templates: numbers, units and names become typed slots, windows of
 templates are joined by hash, and slots have to be filled consistently. So a question is found again
-when its numbers and names were exchanged.
+when its numbers and names were exchanged. Windows of plain lower-cased words find copies in any case, also
+of items made mostly of numbers and names.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ UNITS = [
     "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
     "dollar", "dollars", "cent", "cents", "euro", "euros", "percent", "degree", "degrees",
 ]
+# keeps hashes of plain windows apart from those of templates
+PLAIN = 1
 # benchmark windows sent to every task; beyond, windows are shuffled by hash
 BROADCAST_WINDOWS = 500_000
 
@@ -28,8 +31,13 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
+def words_of(tokens: Column) -> Column:
+    """Single words in lower case: names are taken apart, numbers stay."""
+    return F.transform(F.flatten(F.transform(tokens, lambda x: F.split(x, " "))), F.lower)
+
+
 def template_of(tokens: Column) -> Column:
-    """Each token in lower case, or the type of its slot."""
+    """Each token as it stands, or the type of its slot."""
 
     def one(x: Column, i: Column) -> Column:
         unit = x.isin(UNITS) & F.coalesce(F.get(tokens, i - 1).rlike(r"^\p{N}"), F.lit(False))
@@ -38,47 +46,57 @@ def template_of(tokens: Column) -> Column:
     return F.transform(tokens, one)
 
 
-def window_hashes(template: Column, width: int) -> Column:
+def window_hashes(template: Column, width: int, *salt: int) -> Column:
     count = F.size(template) - width + 1
-    return F.when(count < 1, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(template, i, width))))
+    return F.when(count < 1, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(template, i, width), *map(F.lit, salt))))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.6, agree: float = 0.8) -> DataFrame:
     """(doc_id, item_id, matched, item_windows, slots, agreeing): documents that hold benchmark items.
 
     An item is held if ``share`` of its windows of ``width`` template tokens occur in the document, in
-    alignments that fill at least ``agree`` of the item's distinct slot values with one value each. Windows in
-    which slots outnumber literal words are not indexed; items shorter than ``width`` are compared as a
-    whole. Items without any such window cannot be recognised and match nothing. Null and empty texts
-    hold nothing; repeated rows count once; empty tables give no rows.
+    alignments that fill at least ``agree`` of the item's distinct slot values with one value each; windows in
+    which slots outnumber literal words are not indexed as templates. It is also held if ``share`` of its windows
+    of ``width`` plain words (lower case, numbers kept, whatever their number) occur; an item held by these alone
+    has counts of plain windows and no slots. Items shorter than ``width`` are compared as a whole. Items without a letter
+    or digit match nothing. Null and empty texts hold nothing; repeated rows count once; empty tables
+    give no rows.
     """
     docs = documents_of(documents)
     items = benchmark.select("item_id", tokens_of(F.col("text").cast("string")).alias("tokens")).filter("item_id IS NOT NULL AND size(tokens) > 0")
-    items = stored(items.withColumn("width", F.least(F.size("tokens"), F.lit(width))).dropDuplicates())
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most ``width`` values
+    items = items.withColumn("words", words_of(F.col("tokens")))
+    items = stored(items.withColumn("width", F.least(F.size("tokens"), F.lit(width))).withColumn("plain_width", F.least(F.size("words"), F.lit(width))).dropDuplicates())
+    widths = sorted(r[0] for r in items.select(F.explode(F.array("width", "plain_width"))).distinct().collect())  # at most ``width`` values
     index = None
     for w in widths:
         part = items.filter(F.col("width") == w).select("item_id", template_of(F.col("tokens")).alias("t"))
         part = part.select("item_id", "t", F.posexplode(window_hashes(F.col("t"), w)).alias("place", "h"))
         literal = F.size(F.filter(F.slice("t", F.col("place") + 1, w), lambda x: ~x.isin(NUMBER, UNIT, NAME)))
-        part = part.filter(2 * literal >= w).select("item_id", "place", "h", F.lit(w).alias("w"))
+        part = part.filter(2 * literal >= w).select("item_id", "place", "h", F.lit(w).alias("w"), F.lit(False).alias("plain"))
+        plain = items.filter(F.col("plain_width") == w).select("item_id", F.posexplode(window_hashes(F.col("words"), w, PLAIN)).alias("place", "h"))
+        part = part.union(plain.select("item_id", "place", "h", F.lit(w).alias("w"), F.lit(True).alias("plain")))
         index = part if index is None else index.union(part)
     empty = "doc_id long, item_id long, matched long, item_windows long, slots long, agreeing long"
     if index is None:
         return documents.sparkSession.createDataFrame([], empty)
     index = stored(index)
-    totals = index.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"))
+    totals = index.groupBy("item_id", "plain").agg(F.countDistinct("place").alias("item_windows"))
     lookup = F.broadcast(index) if index.count() <= BROADCAST_WINDOWS else index
-    templates = docs.select("doc_id", tokens_of(F.col("text")).alias("tokens")).select("doc_id", template_of(F.col("tokens")).alias("t"))
+    templates = docs.select("doc_id", tokens_of(F.col("text")).alias("tokens")).select("doc_id", template_of(F.col("tokens")).alias("t"), words_of(F.col("tokens")).alias("words"))
     found = None
     for w in widths:
-        windows = templates.select("doc_id", F.posexplode(window_hashes(F.col("t"), w)).alias("at", "h"))
-        part = windows.join(lookup.filter(F.col("w") == w), "h").select("doc_id", "at", "item_id", "place", "w")
+        # both kinds in one pass over the texts: windows of templates, then of words
+        hashes = F.concat(window_hashes(F.col("t"), w), window_hashes(F.col("words"), w, PLAIN))
+        windows = templates.select("doc_id", F.greatest(F.size("t") - (w - 1), F.lit(0)).alias("n"), F.posexplode(hashes).alias("at", "h"))
+        part = windows.join(lookup.filter(F.col("w") == w), "h").withColumn("at", F.col("at") - F.when(F.col("plain"), F.col("n")).otherwise(0))
+        part = part.select("doc_id", "at", "item_id", "place", "w", "plain")
         found = part if found is None else found.union(part)
-    found = stored(found.distinct())
+    found = stored(found.distinct().withColumn("shift", F.col("at") - F.col("place")))
     enough = F.col("matched") >= share * F.col("item_windows")
-    likely = found.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("matched")).join(totals, "item_id").filter(enough).select("doc_id", "item_id")
-    found = stored(found.join(likely, ["doc_id", "item_id"], "left_semi").withColumn("shift", F.col("at") - F.col("place")))
+    counted = found.groupBy("doc_id", "item_id", "plain").agg(F.countDistinct("place").alias("matched")).join(totals, ["item_id", "plain"]).filter(enough)
+    copies = counted.filter("plain").select("doc_id", "item_id", "matched", "item_windows")
+    likely, totals = counted.filter("NOT plain").select("doc_id", "item_id"), totals.filter("NOT plain").drop("plain")
+    found = stored(found.filter("NOT plain").join(likely, ["doc_id", "item_id"], "left_semi"))
     texts = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates().select("doc_id", tokens_of(F.col("text")).alias("doc_tokens"))
     aligned = found.join(texts, "doc_id").join(items.select("item_id", "tokens"), "item_id")
     pairs = F.zip_with(F.slice("tokens", F.col("place") + 1, F.col("w")), F.slice("doc_tokens", F.col("at") + 1, F.col("w")), lambda a, b: F.struct(a.alias("item_value"), b.alias("doc_value")))
@@ -90,4 +108,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = 8, sha
     out = kept.groupBy("doc_id", "item_id").agg(
         F.countDistinct("place").alias("matched"), F.coalesce(F.max("slots"), F.lit(0).cast("long")).alias("slots"), F.coalesce(F.max("agreeing"), F.lit(0).cast("long")).alias("agreeing")
     )
-    return out.join(totals, "item_id").filter(enough).select("doc_id", "item_id", "matched", "item_windows", "slots", "agreeing")
+    out = stored(out.join(totals, "item_id").filter(enough).select("doc_id", "item_id", "matched", "item_windows", "slots", "agreeing"))
+    none = F.lit(0).cast("long")
+    copies = copies.join(out, ["doc_id", "item_id"], "left_anti").withColumn("slots", none).withColumn("agreeing", none)
+    return out.union(copies.select(out.columns))

@@ -97,3 +97,14 @@ def test_reparameterised_questions(spark, docs):
     assert found == [(1, 5), (2, 5), (7, 5)]
     assert D.contaminated(docs(["so here is a short item", "short items"]), benchmark).select("doc_id").collect() == [(1,)]
     assert D.contaminated(docs([]), benchmark).count() == 0 and D.contaminated(docs(texts), benchmark.limit(0)).count() == 0
+
+
+def test_copies_whatever_their_case_and_slots(spark, docs):
+    sums = "12 + 7 * 3 - 8 / 2 + 19 = 41 - 5"
+    capitals = "WHAT IS THE CAPITAL OF THE LARGEST ISLAND IN THE WESTERN SEA"
+    story = "The miller of Old Town sold 12 sacks of flour to Anna Maria Bell and kept the other 7 sacks for the winter"
+    filler = " ".join(f"word{chr(97 + i % 26)} plain" for i in range(40))
+    texts = [f"{filler} {sums} {filler}", f"{filler} {capitals}", f"{filler} {capitals.lower()} {filler}", story.lower(), story.upper(), "12 + 7 * 3", filler]
+    benchmark = spark.createDataFrame([(1, sums), (2, capitals), (3, story), (4, "Old Town")], "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id) for r in D.contaminated(docs(texts), benchmark).collect())
+    assert found == [(1, 1), (2, 2), (3, 2), (4, 3), (4, 4), (5, 3), (5, 4)]
