@@ -33,7 +33,7 @@ def tokens_of(text: Column) -> Column:
 
 def words_of(tokens: Column) -> Column:
     """Single words in lower case: names are taken apart, numbers stay."""
-    return F.transform(F.flatten(F.transform(tokens, lambda x: F.split(x, " "))), F.lower)
+    return F.split(F.lower(F.array_join(tokens, " ")), " ")
 
 
 def template_of(tokens: Column) -> Column:
@@ -51,14 +51,16 @@ def window_hashes(template: Column, width: int, *salt: int) -> Column:
     return F.when(count < 1, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(template, i, width), *map(F.lit, salt))))
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.6, agree: float = 0.8) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.6, agree: float = 0.8, run: int = 13, long_run: int = 20) -> DataFrame:
     """(doc_id, item_id, matched, item_windows, slots, agreeing): documents that hold benchmark items.
 
     An item is held if ``share`` of its windows of ``width`` template tokens occur in the document, in
     alignments that fill at least ``agree`` of the item's distinct slot values with one value each; windows in
     which slots outnumber literal words are not indexed as templates. It is also held if ``share`` of its windows
-    of ``width`` plain words (lower case, numbers kept, whatever their number) occur; an item held by these alone
-    has counts of plain windows and no slots. Items shorter than ``width`` are compared as a whole. Items without a letter
+    of ``width`` plain words (lower case, numbers kept, whatever their number) occur, or if ``run`` (``width`` at
+    least) plain words of it in a row do, however long the item is; where ``share`` of the templates occurs but
+    the slots contradict one another, it takes ``long_run`` words in a row. An item held by these alone has counts
+    of plain windows and no slots. Items shorter than ``width`` are compared as a whole. Items without a letter
     or digit match nothing. Null and empty texts hold nothing; repeated rows count once; empty tables
     give no rows.
     """
@@ -93,11 +95,21 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = 8, sha
         found = part if found is None else found.union(part)
     found = stored(found.distinct().withColumn("shift", F.col("at") - F.col("place")))
     enough = F.col("matched") >= share * F.col("item_windows")
-    counted = found.groupBy("doc_id", "item_id", "plain").agg(F.countDistinct("place").alias("matched")).join(totals, ["item_id", "plain"]).filter(enough)
-    copies = counted.filter("plain").select("doc_id", "item_id", "matched", "item_windows")
-    likely, totals = counted.filter("NOT plain").select("doc_id", "item_id"), totals.filter("NOT plain").drop("plain")
+    counted = found.groupBy("doc_id", "item_id", "plain").agg(F.countDistinct("place").alias("matched")).join(totals, ["item_id", "plain"])
+    # a run of words is a run of windows in one alignment, which holds at most the places of the item
+    places = found.filter(F.col("plain") & (F.col("w") == width)).groupBy("doc_id", "item_id", "shift").agg(F.sort_array(F.collect_set("place")).alias("places"))
+
+    def in_a_row(words: int) -> Column:
+        more = max(words - width, 0)
+        return F.exists(F.transform("places", lambda place, i: F.coalesce(F.get("places", i + more) == place + more, F.lit(False))), lambda x: x)
+
+    runs = places.filter(in_a_row(run)).groupBy("doc_id", "item_id").agg(F.max(in_a_row(long_run)).alias("long"))
+    copies = counted.filter("plain").join(runs, ["doc_id", "item_id"], "left").filter(enough | F.col("long").isNotNull())
+    copies = copies.select("doc_id", "item_id", "matched", "item_windows", (enough | F.col("long")).alias("sure"))
+    likely, totals = counted.filter(enough & ~F.col("plain")).select("doc_id", "item_id"), totals.filter("NOT plain").drop("plain")
     found = stored(found.filter("NOT plain").join(likely, ["doc_id", "item_id"], "left_semi"))
-    texts = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates().select("doc_id", tokens_of(F.col("text")).alias("doc_tokens"))
+    # a table of ids alone is small enough to be sent to the texts longer than the windows are
+    texts = docs.join(stored(found.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates().select("doc_id", tokens_of(F.col("text")).alias("doc_tokens"))
     aligned = found.join(texts, "doc_id").join(items.select("item_id", "tokens"), "item_id")
     pairs = F.zip_with(F.slice("tokens", F.col("place") + 1, F.col("w")), F.slice("doc_tokens", F.col("at") + 1, F.col("w")), lambda a, b: F.struct(a.alias("item_value"), b.alias("doc_value")))
     slots = F.filter(pairs, lambda p: p["item_value"].rlike(r"^[\p{N}\p{Lu}]"))
@@ -110,5 +122,6 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = 8, sha
     )
     out = stored(out.join(totals, "item_id").filter(enough).select("doc_id", "item_id", "matched", "item_windows", "slots", "agreeing"))
     none = F.lit(0).cast("long")
-    copies = copies.join(out, ["doc_id", "item_id"], "left_anti").withColumn("slots", none).withColumn("agreeing", none)
+    unsure = copies.filter("NOT sure").join(likely, ["doc_id", "item_id"], "left_anti")
+    copies = copies.filter("sure").union(unsure).join(out, ["doc_id", "item_id"], "left_anti").withColumn("slots", none).withColumn("agreeing", none)
     return out.union(copies.select(out.columns))

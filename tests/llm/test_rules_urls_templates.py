@@ -108,3 +108,14 @@ def test_copies_whatever_their_case_and_slots(spark, docs):
     benchmark = spark.createDataFrame([(1, sums), (2, capitals), (3, story), (4, "Old Town")], "item_id long, text string")
     found = sorted((r.doc_id, r.item_id) for r in D.contaminated(docs(texts), benchmark).collect())
     assert found == [(1, 1), (2, 2), (3, 2), (4, 3), (4, 4), (5, 3), (5, 4)]
+
+
+def test_passages_of_long_items(spark, docs):
+    words = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu", "ha") for b in ("nd", "lk", "rst", "mp", "x", "ss", "tt", "rv", "gn", "ck")]
+    item, filler = " ".join(words[:59]), "some other words before and after the passage"
+    quoted = [f"{filler} {' '.join(words[a:b])} {filler}" for a, b in ((0, 35), (20, 40), (46, 59), (10, 22))]
+    broken = " ".join(words[:12] + ["Other"] + words[13:25] + ["Other"] + words[26:38])
+    shuffled = " ".join(words[30:42] + words[0:12])
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id) for r in D.contaminated(docs([*quoted, broken, shuffled, filler]), benchmark).collect())
+    assert found == [(1, 1), (2, 1), (3, 1)]
