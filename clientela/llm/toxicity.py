@@ -32,8 +32,10 @@ DOUBLED, SHORTENED, SIGN, LITERAL, JOINED, APART = 0.7, 0.5, 0.7, 6.0, 0.2, 2.5
 SYMBOLS = 28
 _EDGE = re.compile(r"^[^\w@$€£]+|[^\w@$!€£+|]+$")
 _JUNK = re.compile(r"([^\w])\1+$|^([^\w])\2+")
-_SPACED = re.compile(r"^\w(?:[.\-_*~·,/\\']+\w){2,}$")
-_RUN = re.compile(r"([^\W\d_])\1\1")
+_SPACED = re.compile(r"[^\W_][.\-_*~·,/\\']+[^\W_]")
+_RUN = re.compile(r"([^\W\d_])\1")
+# letters of a fragment that may belong to lone letters beside it
+FRAGMENT = 3
 _COUNTS = pa.schema([("code", pa.int32()), ("n", pa.int64())])
 # words whose weight a worker remembers
 REMEMBERED = 300_000
@@ -114,7 +116,7 @@ def needs_decoding(word: str) -> bool:
     """Whether a lattice of the word has more than one path worth weighing."""
     signs = sum(c in LEET for c in word)
     letters = sum(c.isalpha() for c in word)
-    return bool(signs and 2 * letters >= signs or _RUN.search(word) or _SPACED.match(word))
+    return bool(signs and 2 * letters >= signs or _RUN.search(word) or _SPACED.search(word))
 
 
 def trimmed(token: str) -> str:
@@ -122,14 +124,29 @@ def trimmed(token: str) -> str:
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct tokens of a text in lower case; single letters in a row also as one spaced token."""
+    """Distinct tokens of a text in lower case; lone letters in a row also as one spaced token, alone and
+    with the short fragments between and beside them."""
     tokens = text.lower().split()
     out = set(tokens)
     alone = [i for i, t in enumerate(tokens) if len(t) == 1]
-    for _, group in groupby(enumerate(alone), lambda x: x[1] - x[0]):
-        run = [tokens[i] for _, i in group]
-        if len(run) >= 3:
-            out.add(" ".join(run))
+    rows: list[list[int]] = []
+    chains: list[list[int]] = []
+    for i in alone:
+        if rows and i - rows[-1][1] == 1:
+            rows[-1][1] = i
+        else:
+            rows.append([i, i])
+        if chains and (i - chains[-1][1] == 1 or i - chains[-1][1] == 2 and len(tokens[i - 1]) <= FRAGMENT):
+            chains[-1][1] = i
+        else:
+            chains.append([i, i])
+    for first, last in {(a, b) for a, b in rows + chains}:
+        before = first > 0 and len(tokens[first - 1]) <= FRAGMENT
+        after = last + 1 < len(tokens) and len(tokens[last + 1]) <= FRAGMENT
+        for start in {first, first - before}:
+            for end in {last, last + after}:
+                if end - start >= 2:
+                    out.add(" ".join(tokens[start : end + 1]))
     return out
 
 

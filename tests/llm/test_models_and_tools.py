@@ -125,6 +125,15 @@ def test_restored_words(spark):
         assert toxicity.restored(written, model) == meant
 
 
+def test_restored_spacing_and_doubling(spark):
+    model = toxicity.character_model(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    for written in ("iddiot", "i.d.i.ot", "i d i ot", "id i ot"):
+        assert "idiot" in {w for t in toxicity.words_of(f"reading {written} there") for w in toxicity.features_of(t, model)}, written
+    for written in ("stuupid", "st.upid", "st-up-id", "s-t-uu-p-i-d", "st u p i d", "s tu p id", "is a st u p i d"):
+        assert "stupid" in {w for t in toxicity.words_of(f"reading {written} there") for w in toxicity.features_of(t, model)}, written
+    assert toxicity.restored("hello", model) == "hello"
+
+
 def test_models_without_labels_or_texts(spark, docs):
     none = spark.createDataFrame([], "doc_id long, label int")
     some = docs([None, "", "a few words", "a few words"])
