@@ -178,8 +178,83 @@ FROM hit SEMI JOIN likely USING (doc_id, item_id) LEFT JOIN filled USING (doc_id
 WHERE coalesce(agreeing >= 0.8 * slots, true)
 GROUP BY doc_id, item_id, item_windows HAVING count(DISTINCT p) >= 0.6 * item_windows
 """
+OP11 = rf"""
+WITH lab AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL
+), w AS (
+  SELECT *, regexp_extract_all(t, '{WORDS}') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d
+), f AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+    regexp_matches(t, '[#$%&*|]'), doc_id > first_id] AS fails,
+    coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM w LEFT JOIN lab USING (doc_id)
+), g AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY ALL
+), l AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS x
+), o AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS p FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT part, p, x AS step, p[x] AS letter, n, n_good, n_toxic, fails[p[x]] AS fails_here,
+    len(list_filter(p[1:x - 1], lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda i: i)) AS n_fails
+  FROM g, o, l
+), r AS (
+  SELECT part, p, step, letter,
+    coalesce(sum(n) FILTER (NOT fails_here AND NOT gone), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (fails_here AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails_here AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails_here AND n_fails = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n_good) FILTER (fails_here AND NOT gone), 0)::BIGINT AS good_lost,
+    coalesce(sum(n_toxic) FILTER (fails_here AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM s GROUP BY ALL
+)
+SELECT part, array_to_string(list_transform(p, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, step::INTEGER AS step,
+  kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley
+FROM r
+"""
+
+
+def _vectors(label: str) -> str:
+    """Rows that take part, with their vectors of whole numbers."""
+    return f"""
+v AS (
+  SELECT vec_id, {label} AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)"""
+
+
+OP12 = f"""
+WITH {_vectors("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")}, scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND a.label IS NOT NULL AND b.label IS NOT NULL
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM scored JOIN positive USING (anchor_id)
+WHERE label <> anchor_label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+OP13 = f"""
+WITH {_vectors("label")}, scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
 ORACLE: dict[str, str] = {
     "op2_url_filters": OP2,
     "op3_quality_rules": OP3,
     "op10_benchmark_decontamination": OP10,
+    "op11_filter_audit": OP11,
+    "op12_hard_negatives": OP12,
+    "op13_exact_top_k": OP13,
 }

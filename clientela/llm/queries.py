@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from clientela.llm import byte_bpe, compression_quality, toxicity
 from clientela.llm.decontamination import contaminated
+from clientela.llm.exact_top_k import exact_top_k
+from clientela.llm.filter_audit import failures, interactions, labelled
+from clientela.llm.hard_negatives import hard_negatives
 from clientela.llm.html_extraction import extract
 from clientela.llm.jaccard_join import jaccard_classes
 from clientela.llm.katz import katz_scores
@@ -18,6 +21,7 @@ from clientela.llm.quality_rules import SPACES, judge
 from clientela.llm.shared import fold, ship
 from clientela.llm.substring_dedup import remove_repeats
 from clientela.llm.url_filter import judge_urls
+from clientela.llm.vectors import integer_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +97,26 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters removes at every step of all 120 orders, for each source."""
+    failed = failures(table(spark, folder, "documents"), F.col("source"))
+    known = labelled(failed, table(spark, folder, "labels"), good=F.col("quality") == 1, toxic=F.col("toxic") == 1)
+    return interactions(known, "ABCDE", ("good", "toxic"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Near rows of another label within each positive's window of scores, labels of one id in seven changed."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = integer_vectors(table(spark, folder, "embeddings"), 256, vec_id=F.col("vec_id").cast("long"), label=label.cast("long"), vector=F.col("embedding"))
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op13_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five rows of highest inner product with every row whose id is divisible by 50."""
+    vectors = integer_vectors(table(spark, folder, "embeddings"), 256, vec_id=F.col("vec_id").cast("long"), vector=F.col("embedding"))
+    return exact_top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
@@ -104,5 +128,8 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 __all__ = ["ORACLE", "QUERIES"]
