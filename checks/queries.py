@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +22,10 @@ from clientela.params import ONLINE, PHYSICAL, SEGMENTS_NARROW_FIRST, Bounds, Ch
 from clientela.plans import birthdays, campaigns, channels, customers, overview, retention, rfm
 from clientela.plans.campaigns import with_headings
 from clientela.sources.coercion import coerce_numeric
-from clientela.sources.sinks import segment_file_name, write_csv, write_outbox
+from clientela.sources.layout import layout_ledger, write_layout
+from clientela.sources.sinks import read_outbox, segment_file_name, write_csv, write_outbox
 from clientela.sources.star import star_ledger
-from clientela.sources.tables import duplicate_customers, parquet_ledger
+from clientela.sources.tables import duplicate_customers, one_row_each, parquet_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 SOUTH = Channel(store_fragment="south")
@@ -151,7 +152,44 @@ def _outbox_written(book: Ledger) -> DataFrame:
     path = _folder(book)
     for _ in range(2):
         write_outbox(birthdays.birthday_outbox(book, BIRTHDAY_RUN), path, BIRTHDAY_RUN)
-    return book.sales.sparkSession.read.parquet(path)
+    return read_outbox(book.sales.sparkSession, path)
+
+
+def _with_stores(book: Ledger) -> Ledger:
+    """Lines that carry a store, by rules of their own, or none."""
+
+    def store(number) -> Column:
+        return F.when(number == 1, "Online").when(number == 2, "Store North").when(number == 3, "Store South")
+
+    items = book.items.withColumn("store", store(F.col("quantity") % 4))
+    payments = book.payments.withColumn("store", store(F.dayofmonth("order_ts") % 4))
+    return Ledger(book.customers, book.sales, items, payments, book.rules, book.broadcast_rows)
+
+
+def _copied_customers(book: Ledger) -> DataFrame:
+    """The customer table with copies that are as full, less full or fuller, and one id that very many rows share."""
+    key, people = F.col("customer_id"), book.customers
+    gaps = people.filter(key % 2 == 0).withColumns({"email": F.lit(" "), "city": F.lit(None).cast("string")})
+    later = people.filter(key % 3 == 0).withColumn("city", F.lit("ZZZ"))
+    nobody = people.filter(key % 3 != 0).withColumn("customer_id", F.lit(-1).cast("long"))
+    return people.unionByName(gaps).unionByName(later).unionByName(nobody)
+
+
+def _one_row_each(book: Ledger) -> DataFrame:
+    return one_row_each(_copied_customers(book))
+
+
+def _card_of_copies(book: Ledger) -> DataFrame:
+    """The card of a customer with copies, who has one row now."""
+    single = Ledger(one_row_each(_copied_customers(book)), book.sales, rules=book.rules, broadcast_rows=book.broadcast_rows)
+    return customers.customer_card_of(single, CUSTOMER, LONG, AS_OF)
+
+
+def _laid_out(book: Ledger, by: str, customer_folders: int) -> Ledger:
+    """Tables written into folders by day and customer, and read back."""
+    path = _folder(book)
+    write_layout(book, path, by, customer_folders)
+    return layout_ledger(book.sales.sparkSession, path, rules=book.rules, broadcast_rows=book.broadcast_rows)
 
 
 def _contacts(book: Ledger) -> DataFrame:
@@ -241,6 +279,7 @@ QUERIES: dict[str, Query] = {
             min_orders=2,
             only_phone=True,
             order_by="full_name",
+            store_parts=True,
         )
     ),
     "available_channels": _on(lambda b: customers.available_channels(_base(b))),
@@ -304,4 +343,14 @@ QUERIES: dict[str, Query] = {
         lambda b: birthdays.birthday_outbox(b, LEAP_EVE, leap_births_on_28=True)
     ),
     "duplicate_customers": _on(lambda b: duplicate_customers(b.sales)),
+    "customer_search_stores": _on(
+        lambda b: customers.customer_search(_base(b), stores=["Store S", "Store North"], min_orders=2, order_by="orders")
+    ),
+    "top_categories_by_store": _on(lambda b: overview.top_categories(_with_stores(b), YEAR, by_store=True)),
+    "payment_mix_by_store": _on(lambda b: overview.payment_mix(_with_stores(b), YEAR, by_store=True)),
+    "payment_mix_online": _on(lambda b: overview.payment_mix(b, YEAR, ONLINE)),
+    "one_row_each": _on(_one_row_each),
+    "customer_card_of_copies": _on(_card_of_copies),
+    "layout_by_month": _on(lambda b: overview.monthly_revenue_by_store(_laid_out(b, "month", 0), MID_MONTH)),
+    "layout_birthdays": _on(lambda b: birthdays.birthdays_of_month(_laid_out(b, "month", 4), 8, AS_OF, ordered=False)),
 }

@@ -22,51 +22,64 @@ def add_tiles(df: DataFrame, keys: dict[str, list[Column]], tiles: int) -> DataF
     """Add one tile column (1..tiles) per entry of ``keys``, each a list of ascending sort keys.
 
     The keys of an entry have to be unique together, so that tiles do not depend on chance.
-    ``df`` is counted first, so it should be cheap to read again (see :func:`durable`). Only the first
-    key of each tile is looked up, and a row's tile is the number of such keys it does not precede.
+    ``df`` should be cheap to read (see :func:`durable`). All entries are ranked together, by three
+    actions whatever their number. Only the first key of each tile is looked up, and a row's tile is the
+    number of such keys it does not precede.
     """
-    rows = df.count()
     columns = {}
-    for name, key in keys.items():
+    for name, firsts in first_keys(df, keys, tiles).items():
         tile = F.lit(1)
-        for first in first_keys(df, key, rows, tiles):
-            tile = tile + (F.struct(*key) >= first).cast("int")
+        for first in firsts:
+            tile = tile + (F.struct(*keys[name]) >= first).cast("int")
         columns[name] = tile
     return df.withColumns(columns)
 
 
-def first_keys(df: DataFrame, key: list[Column], rows: int, tiles: int) -> list[Column]:
-    """The smallest key of each tile but the first, as literals.
+def first_keys(df: DataFrame, keys: dict[str, list[Column]], tiles: int) -> dict[str, list[Column]]:
+    """For each entry of ``keys`` the smallest key of each tile but the first, as literals.
 
-    The keys alone are range-partitioned and sorted; many rows with the same metric still spread,
-    because the rest of the key tells them apart. The position of a key is its position within
-    the partition plus the rows of all partitions before, so one row count per partition says
-    where each tile starts. The numbered keys are written first: computed a second time, range
-    bounds could be drawn differently.
+    The keys of all entries become one long table, a row for each row of ``df`` and entry with the
+    entry's number in front, that is range-partitioned and sorted once; many rows with the same metric
+    still spread, because the rest of the key tells them apart. The position of a key is its position
+    within the partition plus the entry's rows in all partitions before, so one count by entry and
+    partition says where each tile starts. The numbered keys are written first: computed a second time,
+    range bounds could be drawn differently.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = [f"k{i}" for i in range(len(key))]
+    parts = {name: [f"k{e}_{i}" for i in range(len(key))] for e, (name, key) in enumerate(keys.items())}
+    names = [n for own in parts.values() for n in own]
+    kinds = df.select(*(k.alias(n) for own, key in zip(parts.values(), keys.values()) for n, k in zip(own, key))).schema
+
+    def entry(number: int, name: str) -> Column:
+        """The entry's keys, and nothing in the columns of the others."""
+        own = dict(zip(parts[name], keys[name]))
+        given = (own[f.name] if f.name in own else F.lit(None).cast(f.dataType) for f in kinds)
+        return F.struct(F.lit(number).alias("entry"), *(c.alias(f.name) for c, f in zip(given, kinds)))
+
+    long = df.select(F.inline(F.array(*(entry(e, name) for e, name in enumerate(keys)))))
     numbered = durable(
-        df.select(*(k.alias(n) for k, n in zip(key, names)))
-        .repartitionByRange(partitions, *names)
-        .sortWithinPartitions(*names)
+        long.repartitionByRange(partitions, "entry", *names)
+        .sortWithinPartitions("entry", *names)
         .withColumn("id", F.monotonically_increasing_id())
     )
-    # at most one row per partition reaches the driver, whatever the data
-    sizes = numbered.groupBy(F.shiftright("id", _PARTITION_BITS).alias("part")).count().collect()
-    sizes = sorted((row["part"], row["count"]) for row in sizes)
-    starts = [0, *accumulate(count for _, count in sizes)]
-
-    size, larger = divmod(rows, tiles)  # the first `larger` tiles hold one row more
-    ids = []
-    for tile in range(1, tiles):
-        position = tile * size + min(tile, larger)
-        if position < rows:
-            at = bisect_right(starts, position) - 1
-            ids.append((sizes[at][0] << _PARTITION_BITS) + position - starts[at])
-    found = numbered.filter(F.col("id").isin(ids)).orderBy("id").drop("id")
-    return [_literal(row, found) for row in found.collect()]
-
-
-def _literal(row: Row, df: DataFrame) -> Column:
-    return F.struct(*(F.lit(row[f.name]).cast(f.dataType) for f in df.schema.fields))
+    # at most one row per entry and partition reaches the driver, whatever the data
+    part = F.shiftright("id", _PARTITION_BITS)
+    sizes = numbered.groupBy("entry", part.alias("part")).agg(F.min("id").alias("first"), F.count("*").alias("rows")).collect()
+
+    wanted: dict[int, int] = {}  # number of a row: the entry that it belongs to
+    for e in range(len(keys)):
+        here = sorted((row["first"], row["rows"]) for row in sizes if row["entry"] == e)
+        starts = [0, *accumulate(rows for _, rows in here)]
+        size, larger = divmod(starts[-1], tiles)  # the first `larger` tiles hold one row more
+        for tile in range(1, tiles):
+            position = tile * size + min(tile, larger)
+            if position < starts[-1]:
+                at = bisect_right(starts, position) - 1
+                wanted[here[at][0] + position - starts[at]] = e
+    found = numbered.filter(F.col("id").isin(list(wanted))).orderBy("id").collect() if wanted else []
+    of_entry = {name: [r for r in found if wanted[r["id"]] == e] for e, name in enumerate(keys)}
+    return {name: [_literal(row, numbered, parts[name]) for row in rows] for name, rows in of_entry.items()}
+
+
+def _literal(row: Row, df: DataFrame, names: list[str]) -> Column:
+    return F.struct(*(F.lit(row[n]).cast(df.schema[n].dataType) for n in names))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from clientela import constants as K
 from clientela.functions.contact import phone_digits, whatsapp_number
 from clientela.functions.numbers import mean
+from clientela.operators.layout import of_customer
 from clientela.operators.ledger import Ledger
 from clientela.operators.rollup import customer_rollup
 from clientela.params import Period
@@ -62,9 +63,11 @@ def customer_search(
     only_phone: bool = False,
     order_by: str = "spend",
     literal: bool = False,
+    store_parts: bool = False,
 ) -> DataFrame:
     """Narrow the base down. Name, e-mail and phone are regular expressions, or plain text to be
-    contained if ``literal``; case matters in none of the first two. ``stores`` match anywhere in the customer's list of stores. ``order_by`` is
+    contained if ``literal``; case matters in none of the first two. ``stores`` are names, one of which has to be
+    among the customer's stores; with ``store_parts`` they match anywhere in the joined list instead. ``order_by`` is
     ``spend``, ``orders``, ``idle_days`` (all descending) or ``full_name``.
     """
     found = base.filter(F.col("orders") >= min_orders)
@@ -74,8 +77,10 @@ def customer_search(
             found = found.filter(F.coalesce(F.contains(text, part), F.lit(False)))
         elif sought:
             found = found.filter(_matches(column, sought if cased else f"(?iu){sought}"))
-    if stores:
+    if stores and store_parts:
         found = found.filter(reduce(or_, (F.col("stores").contains(s) for s in stores)))
+    elif stores:
+        found = found.filter(F.arrays_overlap("store_list", F.array(*map(F.lit, stores))))
     if only_phone:
         found = found.filter(F.col("whatsapp") != "")
     ordering = {
@@ -111,15 +116,23 @@ def customer_picker(base: DataFrame) -> DataFrame:
 
 
 def customer_card(base: DataFrame, customer_id) -> DataFrame:
-    """Profile and figures of one customer."""
+    """Profile and figures of one customer.
+
+    One row, as ids are unique (or made so by :func:`~clientela.sources.tables.one_row_each`).
+    """
     one = base.filter(F.col("customer_id") == F.lit(customer_id))
     return one.drop("phone_digits", "store_list", "priced_rows").limit(1)
 
 
+def customer_card_of(ledger: Ledger, customer_id, period: Period, as_of: date) -> DataFrame:
+    """:func:`customer_card` from the tables: only what can hold the customer is read of them."""
+    return customer_card(customer_base(ledger.only(customer_id), period, as_of, ordered=False), customer_id)
+
+
 def order_history(ledger: Ledger, customer_id, n: int = K.HISTORY_ROWS) -> DataFrame:
     """Latest sales of one customer: any status, any day, own shops too."""
     return (
-        ledger.sales.filter(F.col("customer_id") == F.lit(customer_id))
+        of_customer(ledger.sales, customer_id)
         .orderBy(F.desc("order_ts"), "order_id", "store")
         .limit(n)
         .select(

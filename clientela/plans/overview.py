@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clientela import constants as K
 from clientela.functions.labels import category_label, channel_label
 from clientela.functions.numbers import percent
-from clientela.operators.ledger import AS_NOT_IN, KEEP, Ledger
+from clientela.operators.ledger import KEEP, Ledger
 from clientela.operators.rollup import sales_figures
 from clientela.params import Channel, Period
 
@@ -76,29 +76,22 @@ def channel_share(ledger: Ledger, period: Period, channel: Channel | None = None
     )
 
 
-def _of_invoiced_orders(lines: DataFrame, ledger: Ledger, period: Period, channel) -> DataFrame:
-    """Lines of the period whose order id belongs to an invoiced sale of any day.
-
-    The key is the order id alone, without store. An id that fills the sales table is reduced to
-    one row per store before it is shuffled for the join; an order with very many lines is split
-    by the adaptive skew join, which may split the left side of a semi join only.
-    """
-    invoiced = ledger.orders(channel=channel, anonymous=AS_NOT_IN)
-    order_ids = invoiced.select("order_id", "store").distinct().select("order_id")
-    return lines.filter(period.contains(F.to_date("order_ts"))).join(
-        order_ids, "order_id", "left_semi"
-    )
-
-
 def top_categories(
-    ledger: Ledger, period: Period, channel: Channel | None = None, n: int = K.TOP_CATEGORIES
+    ledger: Ledger,
+    period: Period,
+    channel: Channel | None = None,
+    n: int = K.TOP_CATEGORIES,
+    by_store: bool = False,
 ) -> DataFrame:
-    """Best-selling categories, variants of a category merged by prefix; ties by name."""
-    lines = ledger.items.filter(F.col("category").isNotNull())
+    """Best-selling categories of invoiced orders, variants of a category merged by prefix; ties by name.
+
+    An item belongs to an order by its id alone, or, with ``by_store``, by id and store where it carries one.
+    """
     label = category_label(F.col("category"), ledger.rules.category_prefixes)
+    lines = ledger.within(ledger.items, period).filter(F.col("category").isNotNull()).withColumn("category", label)
     return (
-        _of_invoiced_orders(lines, ledger, period, channel)
-        .groupBy(label.alias("category"))
+        ledger.of_invoiced_orders(lines, "category", ["line_total", "quantity"], channel, by_store)
+        .groupBy("category")
         .agg(F.sum("line_total").alias("revenue"), F.sum("quantity").alias("units"))
         .orderBy(F.desc("revenue"), "category")
         .limit(n)
@@ -126,12 +119,16 @@ def new_customers_by_month(
     )
 
 
-def payment_mix(ledger: Ledger, period: Period, channel: Channel | None = None) -> DataFrame:
-    """Orders and amount per payment method, for payments with a status."""
-    paid = ledger.payments.filter(F.col("status").isNotNull()).drop("status")
+def payment_mix(
+    ledger: Ledger, period: Period, channel: Channel | None = None, by_store: bool = False
+) -> DataFrame:
+    """Orders and amount per payment method, for payments with a status; ``by_store`` as in :func:`top_categories`."""
+    paid = ledger.within(ledger.payments, period).filter(F.col("status").isNotNull()).drop("status")
     return (
-        _of_invoiced_orders(paid, ledger, period, channel)
+        ledger.of_invoiced_orders(paid, "method", ["amount"], channel, by_store)
+        .groupBy("method", "order_id")
+        .agg(F.sum("amount").alias("amount"))
         .groupBy("method")
-        .agg(F.count_distinct("order_id").alias("orders"), F.sum("amount").alias("total"))
+        .agg(F.count("*").alias("orders"), F.sum("amount").alias("total"))
         .orderBy(F.desc("total"), "method")
     )

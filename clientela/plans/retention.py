@@ -21,8 +21,8 @@ def cohort_retention(ledger: Ledger, period: Period) -> DataFrame:
     """Customers active each month after the month of their first purchase within the period.
 
     The months a customer bought in are a bit set in one ``bigint`` per 63 months of the period,
-    so customers are reduced before the only shuffle that carries them, whatever their number
-    of sales.
+    so customers are reduced before the only shuffle that carries their sales. Customers with the same
+    months are counted next, and only the different patterns are taken apart into months.
     """
     last = period.months - 1
     index = _month_index(F.col("day"), period)
@@ -37,10 +37,12 @@ def cohort_retention(ledger: Ledger, period: Period) -> DataFrame:
         ledger.orders(period)
         .groupBy("customer_id")
         .agg(F.min(index).alias("cohort"), *words)
+        .groupBy("cohort", *(f"w{low}" for low in range(0, period.months, _BITS)))
+        .agg(F.count("*").alias("customers"))
         .withColumn("month", F.explode(F.sequence("cohort", F.lit(last))))
         .filter(bought)
         .groupBy("cohort", (F.col("month") - F.col("cohort")).alias("age"))
-        .agg(F.count("*").alias("active_customers"))
+        .agg(F.sum("customers").alias("active_customers"))
     )
     # from here on at most months * (months + 1) / 2 rows
     cohort = Window.partitionBy("cohort")

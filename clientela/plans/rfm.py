@@ -28,9 +28,15 @@ def scored_customers(
     """Metrics, tiles and segment per customer, without contact data.
 
     Enough for the summary, the headline and the segment names, which then need no join.
-    Metrics are written once, since they are counted, ranked three ways and read for the result.
-    Ties between customers go by id.
+    Made once per ledger, day, channel and number of tiles: summary, headline, sample, list, export and
+    campaign of a page all read one table. Ties between customers go by id.
     """
+    key = ("scored customers", as_of, channel, tiles)
+    return ledger.kept(key, lambda: _score(ledger, as_of, channel, tiles))
+
+
+def _score(ledger: Ledger, as_of: date, channel: Channel | None, tiles: int) -> DataFrame:
+    """Metrics are written once, since they are ranked three ways and read for every product."""
     metrics = (
         ledger.orders(channel=channel)
         .filter(F.col("order_total") > 0)

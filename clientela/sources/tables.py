@@ -60,10 +60,14 @@ SCHEMAS = {
 }
 
 
+# columns that a table may have besides
+OPTIONAL = {"items": _schema(store=_TEXT), "payments": _schema(store=_TEXT)}
+
+
 def conform(df: DataFrame, table: str, renames: dict[str, str] | None = None) -> DataFrame:
     """Rename and cast onto the contract; ids stay text, so leading zeros survive.
 
-    A timestamp without time zone is kept as it is.
+    A timestamp without time zone is kept as it is. The store of items and payments is kept where they have it.
     """
     given = {new: old for old, new in (renames or {}).items()}
     kinds = dict(df.dtypes)
@@ -74,7 +78,8 @@ def conform(df: DataFrame, table: str, renames: dict[str, str] | None = None) ->
             return F.col(name).alias(field.name)
         return F.col(name).cast(field.dataType).alias(field.name)
 
-    return df.select(*(column(f) for f in SCHEMAS[table].fields))
+    more = [f for f in OPTIONAL.get(table, T.StructType()).fields if given.get(f.name, f.name) in kinds]
+    return df.select(*(column(f) for f in [*SCHEMAS[table].fields, *more]))
 
 
 def open_ledger(
@@ -82,9 +87,15 @@ def open_ledger(
     names: dict[str, str] = K.WAREHOUSE_TABLES,
     columns: dict[str, dict[str, str]] = K.WAREHOUSE_COLUMNS,
     rules: Rules = Rules(),
+    one_row_a_customer: bool = False,
 ) -> Ledger:
-    """Ledger over four tables, each fetched by ``read(name)``."""
+    """Ledger over four tables, each fetched by ``read(name)``.
+
+    With ``one_row_a_customer`` copies of a customer are dropped by :func:`one_row_each`.
+    """
     tables = {t: conform(read(names[t]), t, columns.get(t)) for t in SCHEMAS}
+    if one_row_a_customer:
+        tables["customers"] = one_row_each(tables["customers"])
     return Ledger(**tables, rules=rules)
 
 
@@ -104,6 +115,22 @@ def duplicate_customers(customers: DataFrame) -> DataFrame:
     return repeated.filter(F.col("count") > 1)
 
 
+def one_row_each(customers: DataFrame, latest: str | None = None) -> DataFrame:
+    """One row for each customer id: the latest by column ``latest`` if named, then the fullest.
+
+    The fullest row has the most columns that are neither missing nor blank; of equally full rows the greatest stands,
+    compared column by column in their order, missing values least. Rows without id are all kept. The
+    copies of an id are compared where they are, so that an id with very many leaves a task as one row.
+    """
+    others = [c for c in customers.columns if c != "customer_id"]
+    filled = [F.when(F.trim(F.col(f"`{c}`").cast("string")) != "", 1).otherwise(0) for c in others]
+    first = [F.col(f"`{latest}`").alias("_latest")] if latest else []
+    rank = F.struct(*first, sum(filled, F.lit(0)).alias("_filled"), *(F.col(f"`{c}`") for c in others))
+    known = customers.filter(F.col("customer_id").isNotNull())
+    kept = known.groupBy("customer_id").agg(F.max(rank).alias("_row")).select("customer_id", *(F.col(f"_row.`{c}`") for c in others))
+    return kept.select(*customers.columns).unionByName(customers.filter(F.col("customer_id").isNull()))
+
+
 def check_customers(customers: DataFrame) -> None:
     """Fail where customer ids are not unique."""
     found = [row["customer_id"] for row in duplicate_customers(customers).limit(5).collect()]

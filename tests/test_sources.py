@@ -10,7 +10,8 @@ from clientela.operators.durable import ensure_checkpoint_dir
 from clientela.params import Period
 from clientela.plans import overview
 from clientela.sources.coercion import coerce_numeric
-from clientela.sources.sinks import campaign_file_name, segment_file_name, write_csv, write_outbox
+from clientela.sources import sinks
+from clientela.sources.sinks import campaign_file_name, clean_outbox, read_outbox, segment_file_name, write_csv, write_outbox
 from clientela.sources.tables import SCHEMAS, catalog_ledger, open_ledger, parquet_ledger
 
 
@@ -108,6 +109,100 @@ def test_outbox_rerun_replaces_its_day_only(spark, tmp_path):
     assert spark.read.parquet(path).select("whatsapp").collect() == [("3",)]
 
 
+class Broken(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["write", "after_write", "commit", "after_commit", "forget_data", "forget_record"])
+def test_outbox_that_fails_between_two_steps(spark, tmp_path, monkeypatch, step):
+    """Either the old day is read or the new one, and the next run puts things right."""
+    path, day, other = str(tmp_path / "outbox"), date(2024, 1, 1), date(2024, 1, 2)
+
+    def messages(day, *phones):
+        return spark.createDataFrame([(day, p) for p in phones], "run_date date, whatsapp string")
+
+    def read():
+        return sorted(tuple(r) for r in read_outbox(spark, path).select("run_date", "whatsapp").collect())
+
+    write_outbox(messages(day, "old"), path, day)
+    write_outbox(messages(other, "x"), path, other)
+    outbox = sinks._Outbox
+    commit, forget = outbox.commit, outbox.forget
+
+    def stop(*_):
+        raise Broken
+
+    def stop_after(f):
+        def run(self, *args):
+            f(self, *args)
+            raise Broken
+
+        return run
+
+    def forget_data_only(self, day, commits):
+        for name in commits:
+            self._files.delete(self._new(self.version(day, name.partition(".")[2])), True)
+        raise Broken
+
+    with monkeypatch.context() as patch:
+        if step == "write":  # a task fails while messages are written
+            bad = messages(day, "new").withColumn("whatsapp", sinks.F.raise_error(sinks.F.lit("lost")).cast("string"))
+            with pytest.raises(Exception, match="lost"):
+                write_outbox(bad, path, day)
+        else:
+            name, replacement = {
+                "after_write": ("commit", stop),
+                "commit": ("commit", stop),
+                "after_commit": ("commit", stop_after(commit)),
+                "forget_data": ("forget", forget_data_only),
+                "forget_record": ("forget", stop_after(forget)),
+            }[step]
+            patch.setattr(outbox, name, replacement)
+            with pytest.raises(Broken):
+                write_outbox(messages(day, "new"), path, day)
+    expected = "old" if step in ("write", "after_write", "commit") else "new"
+    assert read() == [(day, expected), (other, "x")]
+    write_outbox(messages(day, "newest"), path, day)
+    assert read() == [(day, "newest"), (other, "x")]
+    clean_outbox(spark, path)  # nothing is that old
+    clean_outbox(spark, path, older_than_hours=-1)
+    assert read() == [(day, "newest"), (other, "x")]
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_outbox_without_any_day(spark, tmp_path):
+    path = str(tmp_path / "outbox")
+    with pytest.raises(FileNotFoundError):
+        read_outbox(spark, path)
+    assert read_outbox(spark, path, "run_date date, whatsapp string").count() == 0
+    day = date(2024, 1, 1)
+    write_outbox(spark.createDataFrame([], "run_date date, whatsapp string"), path, day)
+    assert read_outbox(spark, path).dtypes == [("run_date", "date"), ("whatsapp", "string")]
+    assert read_outbox(spark, path).count() == 0
+
+
+def test_later_of_two_commits_counts(spark, tmp_path):
+    """Two runs that know nothing of each other: the last record by name says what is read."""
+    path, day = str(tmp_path / "outbox"), date(2024, 1, 1)
+    outbox = sinks._Outbox(spark, path)
+    for version in ("aa", "bb"):
+        spark.createDataFrame([(version,)], "whatsapp string").write.parquet(outbox.version(day, version))
+    outbox.commit(day, "000000000001.bb")
+    outbox.commit(day, "000000000001.aa")
+    assert [r.whatsapp for r in read_outbox(spark, path).collect()] == ["bb"]
+
+
+def test_optional_store_of_lines(spark):
+    frames = {name: df for name, df in warehouse(spark)}
+    items = K.WAREHOUSE_TABLES["items"]
+    frames[items] = frames[items].selectExpr("*", "'Sul' AS store")
+    book = open_ledger(frames.__getitem__)
+    assert "store" in book.items.columns and "store" not in book.payments.columns
+    assert overview.top_categories(book, YEAR).count() == 1
+    assert overview.top_categories(book, YEAR, by_store=True).count() == 0  # sold in "Norte"
+    assert overview.payment_mix(book, YEAR, by_store=True).count() == 1  # no store: by id alone
+
+
 def test_file_names():
     day = date(2024, 3, 5)
     name = campaign_file_name("Volta às aulas", day)
