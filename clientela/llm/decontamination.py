@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientela.llm.shared import documents_of, stored
+from clientela.operators.membership import SKETCHED_KEYS, key_sketch, perhaps_in
 
 TOKEN = r"\p{N}+(?:[.,:/]\p{N}+)*|\p{Lu}[\p{L}\p{M}]*(?: \p{Lu}[\p{L}\p{M}]*)*|[\p{L}\p{M}]+"
 NUMBER, UNIT, NAME = "0", "1", "2"
@@ -23,7 +24,7 @@ UNITS = [
 ]
 # keeps hashes of plain windows apart from those of templates
 PLAIN = 1
-# benchmark windows sent to every task; beyond, windows are shuffled by hash
+# benchmark windows sent to every task; beyond, windows are shuffled by hash, those that a sketch leaves
 BROADCAST_WINDOWS = 500_000
 
 
@@ -41,14 +42,41 @@ def template_of(tokens: Column) -> Column:
 
     def one(x: Column, i: Column) -> Column:
         unit = x.isin(UNITS) & F.coalesce(F.get(tokens, i - 1).rlike(r"^\p{N}"), F.lit(False))
-        return F.when(x.rlike(r"^\p{N}"), NUMBER).when(x.rlike(r"^\p{Lu}"), NAME).when(unit, UNIT).otherwise(x)
+        word = F.when(unit, UNIT).otherwise(x)
+        # most tokens begin with a plain small letter and need no pattern
+        return F.when((x >= "a") & (x < "{"), word).when(x.rlike(r"^\p{N}"), NUMBER).when(x.rlike(r"^\p{Lu}"), NAME).otherwise(word)
 
     return F.transform(tokens, one)
 
 
-def window_hashes(template: Column, width: int, *salt: int) -> Column:
-    count = F.size(template) - width + 1
-    return F.when(count < 1, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(template, i, width), *map(F.lit, salt))))
+def with_windows(df: DataFrame, tokens: str, width: int, out: str, *salt: int) -> DataFrame:
+    """Add ``out``: a hash of each ``width`` consecutive tokens.
+
+    Every token is hashed once; hashes of pairs, of pairs of pairs and so on are then combined from two shifted
+    arrays. Each step is a column of its own, so that none is computed twice.
+    """
+    columns, held, df = list(df.columns), 1, df.withColumn("_w1", F.transform(tokens, lambda x: F.xxhash64(x, *map(F.lit, salt))))
+    combined: tuple[str, int] | None = None
+    steps = width
+    while True:
+        if steps & 1:
+            name = f"_w{held}"
+            if combined is not None:
+                df = df.withColumn("_c" + str(combined[1] + held), _behind(combined[0], name, combined[1]))
+                name = "_c" + str(combined[1] + held)
+            combined = (name, held + (combined[1] if combined else 0))
+        steps >>= 1
+        if not steps:
+            break
+        df = df.withColumn(f"_w{2 * held}", _behind(f"_w{held}", f"_w{held}", held))
+        held *= 2
+    count = F.greatest(F.size(tokens) - (width - 1), F.lit(0))
+    return df.select(*columns, F.slice(combined[0], F.lit(1), count).alias(out))
+
+
+def _behind(first: str, second: str, shift: int) -> Column:
+    """A hash of each number of ``first`` and the number of ``second`` that lies ``shift`` behind."""
+    return F.zip_with(first, F.slice(second, F.lit(shift + 1), F.size(second)), lambda a, b: F.xxhash64(a, b))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.6, agree: float = 0.8, run: int = 13, long_run: int = 20) -> DataFrame:
@@ -72,10 +100,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = 8, sha
     index = None
     for w in widths:
         part = items.filter(F.col("width") == w).select("item_id", template_of(F.col("tokens")).alias("t"))
-        part = part.select("item_id", "t", F.posexplode(window_hashes(F.col("t"), w)).alias("place", "h"))
+        part = with_windows(part, "t", w, "h").select("item_id", "t", F.posexplode("h").alias("place", "h"))
         literal = F.size(F.filter(F.slice("t", F.col("place") + 1, w), lambda x: ~x.isin(NUMBER, UNIT, NAME)))
         part = part.filter(2 * literal >= w).select("item_id", "place", "h", F.lit(w).alias("w"), F.lit(False).alias("plain"))
-        plain = items.filter(F.col("plain_width") == w).select("item_id", F.posexplode(window_hashes(F.col("words"), w, PLAIN)).alias("place", "h"))
+        plain = with_windows(items.filter(F.col("plain_width") == w), "words", w, "h", PLAIN).select("item_id", F.posexplode("h").alias("place", "h"))
         part = part.union(plain.select("item_id", "place", "h", F.lit(w).alias("w"), F.lit(True).alias("plain")))
         index = part if index is None else index.union(part)
     empty = "doc_id long, item_id long, matched long, item_windows long, slots long, agreeing long"
@@ -83,13 +111,17 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = 8, sha
         return documents.sparkSession.createDataFrame([], empty)
     index = stored(index)
     totals = index.groupBy("item_id", "plain").agg(F.countDistinct("place").alias("item_windows"))
-    lookup = F.broadcast(index) if index.count() <= BROADCAST_WINDOWS else index
+    rows = index.count()
+    lookup = F.broadcast(index) if rows <= BROADCAST_WINDOWS else index
+    sketch = stored(key_sketch(index, "h")) if BROADCAST_WINDOWS < rows <= SKETCHED_KEYS else None
     templates = docs.select("doc_id", tokens_of(F.col("text")).alias("tokens")).select("doc_id", template_of(F.col("tokens")).alias("t"), words_of(F.col("tokens")).alias("words"))
     found = None
     for w in widths:
         # both kinds in one pass over the texts: windows of templates, then of words
-        hashes = F.concat(window_hashes(F.col("t"), w), window_hashes(F.col("words"), w, PLAIN))
-        windows = templates.select("doc_id", F.greatest(F.size("t") - (w - 1), F.lit(0)).alias("n"), F.posexplode(hashes).alias("at", "h"))
+        both = with_windows(with_windows(templates, "t", w, "ht"), "words", w, "hw", PLAIN)
+        windows = both.select("doc_id", F.size("ht").alias("n"), F.posexplode(F.concat("ht", "hw")).alias("at", "h"))
+        if sketch is not None:  # most windows are in no item and are not shuffled
+            windows = perhaps_in(windows, "h", sketch)
         part = windows.join(lookup.filter(F.col("w") == w), "h").withColumn("at", F.col("at") - F.when(F.col("plain"), F.col("n")).otherwise(0))
         part = part.select("doc_id", "at", "item_id", "place", "w", "plain")
         found = part if found is None else found.union(part)
