@@ -188,7 +188,7 @@ def _card_of_copies(book: Ledger) -> DataFrame:
 def _laid_out(book: Ledger, by: str, customer_folders: int) -> Ledger:
     """Tables written into folders by day and customer, and read back."""
     path = _folder(book)
-    write_layout(book, path, by, customer_folders)
+    write_layout(Ledger(book.customers, book.sales), path, by, customer_folders)
     return layout_ledger(book.sales.sparkSession, path, rules=book.rules, broadcast_rows=book.broadcast_rows)
 
 
