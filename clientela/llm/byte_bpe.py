@@ -6,6 +6,7 @@ aggregation turns ids back into bytes.
 from __future__ import annotations
 
 import base64
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,37 +22,42 @@ from clientela.llm.shared import documents_of, slices
 
 SLICE = 2 << 20
 # bytes that one recursive query contracts and rows it may keep, and pieces after which a worker forgets
-QUERY_BYTES, QUERY_ROWS, REMEMBERED = 200_000, 6_000_000, 100_000
+QUERY_BYTES, QUERY_ROWS, REMEMBERED = 200_000, 6_000_000, 200_000
+# ids that one query decodes
+DECODED_IDS = 250_000
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 _DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
-# k: piece and position in one number; positions stay without gaps
+# k: piece and position in one number, nxt: the id behind, -1 at the end; positions stay without gaps. What comes out
+# are the last rows of each piece
 CONTRACT = """
 WITH RECURSIVE tokens AS (
-  SELECT 0 AS step, w, w * 4294967296 + generate_subscripts(ids, 1) AS k, unnest(ids) AS id FROM pieces
+  SELECT 0::SMALLINT AS step, (w << 32) + generate_subscripts(ids, 1) AS k, unnest(ids)::INTEGER AS id,
+    unnest(list_append(ids[2:], -1))::INTEGER AS nxt
+  FROM pieces
   UNION ALL
-  SELECT step + 1, t.w, k - (k > first)::BIGINT, CASE WHEN k = first THEN merged ELSE id END
+  SELECT (step + 1)::SMALLINT, k - (k > first)::BIGINT, CASE WHEN k = first THEN merged ELSE id END,
+    CASE WHEN k = first THEN behind WHEN k + 1 = first THEN merged ELSE nxt END
   FROM tokens t JOIN (
-    SELECT w, w * 4294967296 + best % 4294967296 AS first, best // 4294967296 AS merged
+    SELECT w, first, merged, b.nxt AS behind
     FROM (
-      SELECT a.w, min(m.merged * 4294967296 + a.k % 4294967296) AS best
-      FROM tokens a JOIN tokens b ON b.k = a.k + 1 JOIN merges m ON m.pair = a.id * 4294967296 + b.id
-      GROUP BY a.w
-    )
-  ) s ON s.w = t.w
+      SELECT w, (w << 32) + (best & 4294967295) AS first, (best >> 32)::INTEGER AS merged
+      FROM (
+        SELECT a.k >> 32 AS w, min((m.merged << 32) + (a.k & 4294967295)) AS best
+        FROM tokens a JOIN merges m ON m.pair = (a.id::BIGINT << 32) + a.nxt
+        GROUP BY a.k >> 32
+      )
+    ) JOIN tokens b ON b.k = first + 1
+  ) s ON s.w = t.k >> 32
   WHERE k <> first + 1 AND step < {steps}
 )
-SELECT w, list(id ORDER BY k) AS ids, any_value(step) AS step
-FROM tokens JOIN (SELECT w, max(step) AS step FROM tokens GROUP BY w) USING (w, step) GROUP BY w
+SELECT k >> 32 AS w, id, tokens.step
+FROM tokens JOIN (SELECT k >> 32 AS w, max(step) AS step FROM tokens GROUP BY 1) last ON last.w = k >> 32 AND last.step = tokens.step
+ORDER BY k
 """
-# one thread adds up the texts in the order of the rows beneath
 DECODE = """
-SELECT d, string_agg(text, '') AS text
-FROM (
-  SELECT d, v.text
-  FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM docs) t JOIN vocabulary v USING (id)
-  ORDER BY d * 4294967296 + pos
-)
+SELECT d, string_agg(text, '' ORDER BY pos) AS text
+FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM docs) JOIN vocabulary USING (id)
 GROUP BY d
 """
 
@@ -62,18 +68,11 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
-def _lists(sizes: list[int], values: np.ndarray) -> pa.Array:
+def _lists(sizes: list[int] | np.ndarray, values: np.ndarray) -> pa.Array:
     ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
-def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds and values of all lists, one after another."""
-    sizes = np.asarray(pa.compute.list_value_length(lists).combine_chunks())
-    values = pa.compute.list_flatten(lists).combine_chunks()
-    return np.concatenate(([0], np.cumsum(sizes))), np.asarray(values)
-
-
 class _Engine:
     """A worker's DuckDB with the vocabulary and the merge table, and the pieces it has met lately."""
 
@@ -85,7 +84,7 @@ class _Engine:
         self.before: dict[str, bytes] = {}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '250MB'; SET preserve_insertion_order = false")
+        self.db.execute("SET threads = 1; SET memory_limit = '250MB'; SET temp_directory = ''; SET preserve_insertion_order = false")
         pairs = [(a, b, rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
         self.table("vocabulary", id=pa.array(ranks.values(), pa.int32()), text=pa.array([t.decode("latin-1") for t in ranks]))
         self.table("merges", pair=pa.array([a << 32 | b for a, b, _ in pairs], pa.int64()), merged=pa.array([r for *_, r in pairs], pa.int64()))
@@ -97,28 +96,43 @@ class _Engine:
 
     def contract(self, pieces: list[str]) -> None:
         """Remember the ids of pieces; one that is a token as a whole is that token."""
-        open_pieces: list[tuple[str, np.ndarray]] = []
-        for piece in pieces:
-            whole = self.ranks.get(raw := piece.encode())
-            if whole is None:
-                open_pieces.append((piece, self.of_byte[np.frombuffer(raw, np.uint8)]))
-            else:
-                self.known[piece] = np.int32(whole).tobytes()
-        while open_pieces:  # a query takes a bounded number of steps; what is not at its end goes on
+        raw = [p.encode() for p in pieces]
+        whole = list(map(self.ranks.get, raw))
+        self.known.update((p, r.to_bytes(4, sys.byteorder)) for p, r in zip(pieces, whole) if r is not None)
+        # pieces as bytes, or as the ids that they have come to
+        left: list[tuple[str, bytes | np.ndarray]] = [(p, b) for p, b, r in zip(pieces, raw, whole) if r is None]
+        limit = QUERY_BYTES
+        while left:
             some, size = [], 0
-            while open_pieces and (not some or size + len(open_pieces[-1][1]) <= QUERY_BYTES):
-                some.append(open_pieces.pop())
+            while left and (not some or size + len(left[-1][1]) <= limit):
+                some.append(left.pop())
                 size += len(some[-1][1])
-            steps = max(1, QUERY_ROWS // size)
-            self.table("pieces", w=pa.array(np.arange(len(some))), ids=_lists([len(ids) for _, ids in some], np.concatenate([ids for _, ids in some])))
-            done = self.db.sql(CONTRACT.format(steps=steps)).to_arrow_table().combine_chunks()
-            ends, values = _flat(done.column("ids"))
-            packed = values.astype(np.int32).tobytes()
-            for w, step, low, high in zip(done.column("w").to_pylist(), done.column("step").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
-                if step < steps:
-                    self.known[some[w][0]] = packed[4 * low : 4 * high]
-                else:
-                    open_pieces.append((some[w][0], values[low:high].astype(np.int64)))
+            try:
+                left += self.contracted(some, size)
+            except duckdb.OutOfMemoryException:
+                if len(some) == 1:
+                    raise
+                left += some
+                limit = size // 2  # nothing is spilled: fewer pieces at a time
+
+    def contracted(self, some: list[tuple[str, bytes | np.ndarray]], size: int) -> list[tuple[str, np.ndarray]]:
+        """Remember pieces by one query, which takes a bounded number of steps; those not at their end come back."""
+        if all(type(ids) is bytes for _, ids in some):
+            values = self.of_byte[np.frombuffer(b"".join(b for _, b in some), np.uint8)]
+        else:
+            values = np.concatenate([self.of_byte[np.frombuffer(b, np.uint8)] if type(b) is bytes else b for _, b in some])
+        steps = max(1, min(QUERY_ROWS // size, 30_000))
+        self.table("pieces", w=pa.array(np.arange(len(some))), ids=_lists([len(b) for _, b in some], values))
+        done = self.db.sql(CONTRACT.format(steps=steps)).to_arrow_table()
+        ids = done.column("id").to_numpy().astype(np.int32)
+        ends = np.searchsorted(done.column("w").to_numpy(), np.arange(len(some) + 1))
+        packed, bounds = ids.tobytes(), (4 * ends).tolist()
+        ended = done.column("step").to_numpy()[ends[:-1]] < steps
+        if ended.all():
+            self.known.update((p, packed[a:b]) for (p, _), a, b in zip(some, bounds[:-1], bounds[1:]))
+            return []
+        self.known.update((p, packed[a:b]) for (p, _), a, b, e in zip(some, bounds[:-1], bounds[1:], ended.tolist()) if e)
+        return [(some[i][0], ids[ends[i] : ends[i + 1]].astype(np.int64)) for i in np.flatnonzero(~ended).tolist()]
 
     def encode(self, texts: list[str]) -> pa.Array:
         found = [self.pattern.findall(t) for t in texts]
@@ -132,12 +146,28 @@ class _Engine:
         return _lists([len(e) // 4 for e in encoded], np.frombuffer(b"".join(encoded), np.int32))
 
     def decode(self, ids: pa.Array) -> list[bytes]:
-        self.table("docs", d=pa.array(range(len(ids)), pa.int64()), ids=ids)
-        done = self.db.sql(DECODE).to_arrow_table()
-        out = [b""] * len(ids)
-        for d, text in zip(done.column("d").to_pylist(), done.column("text").to_pylist()):
-            out[d] = text.encode("latin-1")
-        return out
+        """Bytes of each list of ids; a query takes a bounded number of ids, of long lists a range at a time."""
+        sizes, values = pa.compute.list_value_length(ids).fill_null(0).to_pylist(), np.asarray(ids.flatten())
+        out: list[list[bytes]] = [[] for _ in sizes]
+        owners, bounds = [], [0]
+        for owner, size in enumerate(sizes):
+            cuts = range(bounds[-1] + DECODED_IDS, bounds[-1] + size, DECODED_IDS)
+            end = bounds[-1] + size
+            for cut in [*cuts, end] if size else []:
+                owners.append(owner)
+                bounds.append(cut)
+        low = 0
+        while low < len(owners):
+            high = low + 1
+            while high < len(owners) and bounds[high + 1] - bounds[low] <= DECODED_IDS:
+                high += 1
+            self.table("docs", d=pa.array(np.arange(low, high)), ids=_lists(np.diff(bounds[low : high + 1]), values[bounds[low] : bounds[high]]))
+            done = self.db.sql(DECODE).to_arrow_table()
+            texts = dict(zip(done.column("d").to_pylist(), done.column("text").to_pylist()))
+            for d in range(low, high):
+                out[owners[d]].append(texts[d].encode("latin-1"))
+            low = high
+        return [b"".join(parts) for parts in out]
 
 
 @lru_cache(maxsize=1)
@@ -166,25 +196,13 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = _engine(ranks, pattern)
-        for whole in batches:
-            for part in _by_length(whole):
-                ids = part.column("ids")
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(engine.decode(ids), pa.binary())], schema=_DECODED)
+        for part in batches:
+            ids = part.column("ids")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(engine.decode(ids), pa.binary())], schema=_DECODED)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def _by_length(whole: pa.RecordBatch, limit: int = 500_000) -> Iterator[pa.RecordBatch]:
-    start, held = 0, 0
-    for i, n in enumerate(pa.compute.list_value_length(whole.column("ids")).fill_null(0).to_pylist()):
-        if i > start and held + n > limit:
-            yield whole.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < whole.num_rows:
-        yield whole.slice(start)
-
-
 def digests(decoded: DataFrame, *further: str) -> DataFrame:
     """(doc_id, n_tokens, further columns, ids_sha256, decoded_sha256) of (doc_id, ids, decoded)."""
     return decoded.select(
