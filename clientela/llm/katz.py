@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from clientela.llm.shared import documents_of, release, removed, slices, stored
 from clientela.llm.words import Words, batch, mix, signed, texts_of
 
-SLICE = 16 << 20
+SLICE = 8 << 20
 # bigrams that one task counts at a time, about
 BUCKET = 2_000_000
 # counts up to this one get Good-Turing discounts; of larger ones a sliver is set aside, so that no
@@ -79,8 +79,9 @@ class Slice:
         self.id = row["slice"]
         self.docs, self.sizes = _unpack(row["docs"], np.int64), _unpack(row["sizes"], np.uint32).astype(np.int64)
         self.held = _unpack(row["held"], np.uint8).astype(bool)
-        self.words, self.tokens = _unpack(row["words"], np.uint64), _unpack(row["tokens"], np.uint32).astype(np.int64)
-        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        # places among words, texts and bigrams of a slice need 32 bits
+        self.words, self.tokens = _unpack(row["words"], np.uint64), _unpack(row["tokens"], np.uint32).astype(np.int32)
+        self.text = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.trained = ~self.held[self.text]
 
     def word_counts(self) -> np.ndarray:
@@ -88,23 +89,31 @@ class Slice:
 
     def find_bigrams(self) -> None:
         start = len(self.words)
-        context = np.concatenate(([start], self.tokens[:-1]))
-        context[np.cumsum(self.sizes)[:-1]] = start
-        pairs, which = np.unique(context * (start + 1) + self.tokens, return_inverse=True)
-        h, w = pairs // (start + 1), pairs % (start + 1)
+        pairs = np.empty(len(self.tokens), np.int64)
+        pairs[:1], pairs[1:] = start, self.tokens[:-1]
+        pairs[np.cumsum(self.sizes)[:-1]] = start
+        pairs *= start + 1
+        pairs += self.tokens
+        pairs, which = np.unique(pairs, return_inverse=True)
+        h, w = (pairs // (start + 1)).astype(np.int32), (pairs % (start + 1)).astype(np.int32)
         named = np.append(self.words, START)
         keys = mix(named[h] * np.uint64(0x9E3779B97F4A7C15) + mix(named[w]))
         order = np.argsort(keys)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.bigram, self.keys, self.h, self.w = place[which], keys[order], h[order], w[order]
         self.bigram_counts = np.bincount(self.bigram[self.trained], minlength=len(pairs))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one; lists of numbers as arrays."""
     for part in batches:
         for i in range(part.num_rows):
-            yield part.slice(i, 1).to_pylist()[0]
+            row = {}
+            for name, column in zip(part.schema.names, part.columns):
+                numbers = pa.types.is_list(column.type) and pa.types.is_integer(column.type.value_type)
+                row[name] = column.slice(i, 1).flatten().to_numpy() if numbers else column[i].as_py()
+            yield row
 
 
 _WORD = pa.schema([("slice", pa.int64()), ("place", pa.int32()), ("w", pa.int64()), ("n", pa.int64())])
@@ -133,7 +142,7 @@ def _bigram_requests(buckets: int):
             bounds = _bucket_bounds(s.keys, buckets)
             full = np.flatnonzero(bounds[1:] > bounds[:-1])
             keys = [_pack(np.diff(s.keys[bounds[b] : bounds[b + 1]], prepend=np.uint64(0))) for b in full]
-            counts = [_pack(s.bigram_counts[bounds[b] : bounds[b + 1]].astype(np.uint32)) for b in full]
+            counts = [_pack(s.bigram_counts[bounds[b] : bounds[b + 1]]) for b in full]
             yield batch(_BLOCK, full.astype(np.int32), np.full(len(full), s.id), keys, counts)
 
     return run
@@ -149,7 +158,7 @@ def _count_bucket(blocks: pa.Table) -> pa.Table:
     """Corpus counts of a bucket's bigrams for each slice that has them; the first of those owns it."""
     blocks = blocks.sort_by("slice").to_pylist()
     keys = [np.cumsum(_unpack(b["keys"], np.uint64), dtype=np.uint64) for b in blocks]
-    counts = [_unpack(b["counts"], np.uint32).astype(np.int64) for b in blocks]
+    counts = [_unpack(b["counts"], np.int64) for b in blocks]
     all_counts = np.concatenate(counts)
     distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(distinct), np.int64)
@@ -162,7 +171,7 @@ def _count_bucket(blocks: pa.Table) -> pa.Table:
     out, at = [], 0
     for b, k in zip(blocks, keys):
         part = slice(at, at + len(k))
-        out.append({"slice": b["slice"], "bucket": b["bucket"], "counts": _pack(total[which[part]].astype(np.uint32)), "owned": _pack(owned[part])})
+        out.append({"slice": b["slice"], "bucket": b["bucket"], "counts": _pack(total[which[part]]), "owned": _pack(owned[part])})
         at += len(k)
     few = np.bincount(total[total <= GOOD_TURING + 1], minlength=GOOD_TURING + 2)
     out[0] |= {f"n{r}": int(few[r]) for r in range(1, GOOD_TURING + 2)}
@@ -217,9 +226,9 @@ def _evaluate(facts: dict):
             s = Slice(row)
             s.find_bigrams()
             c = np.zeros(len(s.words) + 1, np.int64)
-            c[np.array(row["places"] or [], np.int64)] = row["totals"] or []
+            c[row["places"]] = row["totals"]
             c[-1] = facts["trained_docs"]
-            r = np.concatenate([_unpack(x["counts"], np.uint32) for x in row["answers"]]).astype(np.int64)
+            r = np.concatenate([_unpack(x["counts"], np.int64) for x in row["answers"]])
             owned = np.concatenate([_unpack(x["owned"], np.uint8) for x in row["answers"]]).astype(bool)
             p1 = np.where(c > 0, discounted(c, facts["words"]) / max(facts["tokens"], 1), facts["unknown"])
             taken = discounted(r, facts["bigrams"])
@@ -239,7 +248,7 @@ def _evaluate(facts: dict):
             sums = [np.bincount(s.text, weights=x, minlength=texts) for x in (base[s.tokens], term[s.bigram], (c[s.tokens] > 0).astype(float))]
             yield batch(_PART, ["document"] * texts, np.arange(texts) + 0, s.docs, sums[0], sums[1], s.held.astype(float), s.sizes, sums[2].astype(np.int64))
             open_tokens = np.flatnonzero(~seen[s.bigram])
-            pairs, times = np.unique(s.text[open_tokens] * len(c) + s.h[s.bigram[open_tokens]], return_counts=True)
+            pairs, times = np.unique(s.text[open_tokens].astype(np.int64) * len(c) + s.h[s.bigram[open_tokens]], return_counts=True)
             text, h = pairs // len(c), pairs % len(c)
             h, text, times = (x[c[h] > 0] for x in (h, text, times))  # contexts without counts back off at no cost
             none = np.zeros(len(h))
