@@ -96,6 +96,11 @@ FROM m
 _HOST = "translate(regexp_extract({0}, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract({0}, '://[^/?#]*([^?#]*)', 1)"
 _ADDRESS = f"{_HOST} || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END || regexp_extract({{0}}, '://[^/?#]*[^?#]*([?][^#]*)', 1)"
+# an attribute's value: in double quotes, in single ones, or bare
+_ATTRIBUTE = r"""coalesce(nullif(regexp_extract(t, '(?is)[\s"'']{name}\s*=\s*"([^"]*)"', 1), ''),
+    nullif(regexp_extract(t, '(?is)[\s"'']{name}\s*=\s*''([^'']*)''', 1), ''), regexp_extract(t, '(?is)[\s"'']{name}\s*=\s*([^\s"''>]+)', 1))"""
+_POINT = "(CASE WHEN {0} = 0 OR {0} > 1114111 OR {0} BETWEEN 55296 AND 57343 THEN 65533 ELSE {0} END)::INTEGER"
+_UNSEEN = "(?is)" + "|".join(rf"<{t}\b.*?(?:</{t}|\z)" for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp"))
 OP2 = rf"""
 WITH RECURSIVE rules(host, path, verdict) AS (
   VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
@@ -103,20 +108,46 @@ WITH RECURSIVE rules(host, path, verdict) AS (
   SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
 ), q AS (
   SELECT *, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM p
-), tags AS (
-  SELECT url, host, path, regexp_extract(t, '(?i)href\s*=\s*["'']?([^"''\s>]*)', 1) AS target
-  FROM (SELECT url, host, path, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*>')) AS t FROM q)
-  WHERE regexp_matches(t, '(?i)rel\s*=\s*["'']?\s*canonical\b')
-  UNION ALL
-  SELECT url, host, path, regexp_extract(t, '(?i)url\s*=\s*([^"''>]*)', 1)
-  FROM (SELECT url, host, path, unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*>')) AS t FROM q)
-  WHERE regexp_matches(t, '(?i)http-equiv\s*=\s*["'']?\s*refresh\b')
+), seen AS (
+  SELECT url, host, path, regexp_replace(regexp_replace(html, '(?is)<!--.*?(?:-->|\z)', ' ', 'g'), '{_UNSEEN}', ' ', 'g') AS html
+  FROM q WHERE regexp_matches(html, '(?i)canonical|refresh')
+), tag AS (
+  SELECT url, host, path, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b(?:[^<>"'']|"[^"]*"|''[^'']*'')*>')) AS t FROM seen
+), said_by AS (
+  SELECT url, host, path, {_ATTRIBUTE.format(name="rel")} AS rel, {_ATTRIBUTE.format(name="http-equiv")} AS equiv,
+    {_ATTRIBUTE.format(name="href")} AS href, {_ATTRIBUTE.format(name="content")} AS content, lower(t[1:5]) = '<link' AS link
+  FROM tag
+), raw AS (
+  SELECT url, host, path, href AS x FROM said_by WHERE link AND list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical')
+  UNION ALL SELECT url, host, path, regexp_extract(content, '(?i)^[^;,]*[;,]\s*(?:url\s*=\s*)?["'']?([^"'']*)', 1)
+  FROM said_by WHERE NOT link AND lower(trim(equiv)) = 'refresh'
+), plain AS (
+  SELECT url, host, CASE WHEN path = '' THEN '/' ELSE path END AS path, regexp_replace(array_to_string(list_transform(
+    regexp_extract_all(x, '&#[xX][0-9a-fA-F]{{1,6}};?|&#[0-9]{{1,7}};?|&[a-zA-Z]+;|&|[^&]+'), lambda e:
+      CASE WHEN regexp_matches(e, '^&#[xX]') THEN chr({_POINT.format("('0x' || regexp_extract(e, '[xX]([0-9a-fA-F]+)', 1))::BIGINT")})
+        WHEN regexp_matches(e, '^&#[0-9]') THEN chr({_POINT.format("regexp_extract(e, '[0-9]+')::BIGINT")})
+        WHEN lower(e) = '&amp;' THEN '&' WHEN lower(e) = '&lt;' THEN '<' WHEN lower(e) = '&gt;' THEN '>'
+        WHEN lower(e) = '&quot;' THEN '"' WHEN lower(e) = '&apos;' THEN chr(39) ELSE e END), ''),
+    '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS target
+  FROM raw
+), joined AS (
+  SELECT url, target, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN target[1:2] = '//' THEN 'http:' || target WHEN target[1] = '/' THEN 'http://' || host || target
+    WHEN target[1] = '?' THEN 'http://' || host || path || target WHEN target[1] = '#' THEN url
+    ELSE 'http://' || host || regexp_replace(path, '[^/]*$', '') || target END AS other
+  FROM plain WHERE target <> ''
+), cut AS (
+  SELECT url, target, other, regexp_extract(other, '^([^:]*://[^/?#]*)', 1) AS head, {_PATH.format("other")} AS way,
+    regexp_extract(other, '^[^:]*://[^/?#]*[^?#]*(.*)$', 1) AS rest
+  FROM joined WHERE other IS NOT NULL
 ), whole AS (
-  SELECT url, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target
-    WHEN starts_with(target, '/') THEN 'http://' || host || target WHEN starts_with(target, '?') THEN 'http://' || host || path || target
-    WHEN starts_with(target, '#') THEN url
-    ELSE 'http://' || host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || target END AS other
-  FROM (SELECT url, host, path, replace(trim(target), '&amp;', '&') AS target FROM tags) WHERE target <> ''
+  SELECT url, CASE WHEN target[1] = '#' OR NOT regexp_matches(way, '/[.][.]?(/|$)') THEN other
+    ELSE head || '/' || array_to_string(kept, '/') || CASE WHEN len(kept) > 0 AND parts[-1] IN ('.', '..') THEN '/' ELSE '' END || rest END AS other
+  FROM (
+    SELECT *, list_reduce(list_prepend([]::VARCHAR[], list_transform(parts, lambda x: [x])), lambda a, b:
+      CASE WHEN b[1] = '..' THEN a[1:greatest(len(a) - 1, 0)] WHEN b[1] = '.' THEN a ELSE list_concat(a, b) END) AS kept
+    FROM (SELECT *, string_split(substr(way, 2), '/') AS parts FROM cut))
 ), ends AS (
   SELECT {_ADDRESS.format("url")} AS u, {_ADDRESS.format("other")} AS v, url, other FROM whole WHERE {_HOST.format("url")} <> ''
 ), both_ways AS (
@@ -127,7 +158,8 @@ WITH RECURSIVE rules(host, path, verdict) AS (
   SELECT u AS node, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM ends
   UNION SELECT v, {_HOST.format("other")}, {_PATH.format("other")} FROM ends
 ), fits AS (
-  SELECT n.host, n.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS verdict
+  SELECT n.host, n.path, arg_max(r.host || r.path, (length(r.host || r.path), verdict = 'allow', r.host || r.path)) AS rule,
+    arg_max(verdict, (length(r.host || r.path), verdict = 'allow', r.host || r.path)) AS verdict
   FROM (SELECT host, path FROM q UNION SELECT host, path FROM named) n
   JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path) GROUP BY ALL
 ), said AS (

@@ -20,7 +20,7 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 @pytest.mark.parametrize("name", list(ORACLE))
 def test_same_as_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "embeddings"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     assert difference(spark, connection, SMALL, name, QUERIES[name], ORACLE[name]) is None
 
@@ -119,3 +119,70 @@ def test_passages_of_long_items(spark, docs):
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
     found = sorted((r.doc_id, r.item_id) for r in D.contaminated(docs([*quoted, broken, shuffled, filler]), benchmark).collect())
     assert found == [(1, 1), (2, 1), (3, 1)]
+
+
+LINKS = [
+    # page, its url, its html, and what its reference is as a whole URL (None: no edge)
+    (1, "http://a.org/x/y?z=1", "<link rel='canonical' href='/login?next=http://bad.net/z'>", "http://a.org/login?next=http://bad.net/z"),
+    (2, "http://a.org/x/y", "<link rel=canonical href=../z>", "http://a.org/z"),
+    (3, "http://a.org/x/y/", "<link rel=canonical href=./../../q/.>", "http://a.org/q/"),
+    (4, "http://a.org/n", '<link rel="nofollow canonical" href="http://b.net/1">', "http://b.net/1"),
+    (5, "http://a.org/c", "<!-- <link rel=canonical href=http://b.net/2> -->", None),
+    (6, "http://a.org/d", "<script>x = '<link rel=canonical href=http://b.net/3>'</script>", None),
+    (7, "http://a.org/e", "<link rel=canonical href='/p&#63;q=1&amp;r=&#x32;'>", "http://a.org/p?q=1&r=2"),
+    (8, "http://a.org/f", "<link rel=canonical href='mailto:a@b.net?x=http://c.net/'>", None),
+    (9, "http://a.org/g", "<META HTTP-EQUIV='Refresh' content='0; URL=http://b.net/4'>", "http://b.net/4"),
+    (10, "http://a.org/h", "<meta http-equiv=refresh content=\"5;url='k'\">", "http://a.org/k"),
+    (11, "http://a.org", "<link rel=canonical href='?a=b'>", "http://a.org/?a=b"),
+    (12, "http://a.org/i", "<link rel=canonical href='#top'>", "http://a.org/i"),
+    (13, "http://a.org/j", "<link href=http://b.net/5 rel=CANONICAL>", "http://b.net/5"),
+    (14, "https://b.net/1", None, None),
+    (15, "http://d.org/1", "<link rel=canonical href='http://A.org/../../k/../k'>", "http://A.org/k"),
+    (16, "http://d.org/2", "<link rel=canonical title='a > b' href='//b.net/6'>", "http://b.net/6"),
+    (17, "http://d.org/3", "<link rel=canonical href=\"javascript:go('x://y')\">", None),
+    (18, "http://d.org/4", "<link rel=canonical href='&lt;&#xD800;&unknown;&'>", "http://d.org/<\ufffd&unknown;&"),
+    (19, "http://d.org/5", "<!-- open <link rel=canonical href=http://b.net/7>", None),
+    (20, "http://d.org/6", "<link rel=canonicals href=http://b.net/8><link rel=canonical href=''>", None),
+]
+
+
+def test_references_of_pages(spark):
+    import duckdb
+
+    from clientela.llm.oracle import OP2
+    from clientela.llm.queries import URL_RULES
+    from clientela.llm.url_filter import resolved, targets_of
+
+    df = spark.createDataFrame([p[:3] for p in LINKS], "page_id long, url string, html string")
+    links = df.filter("html IS NOT NULL").select("page_id", "url", F.explode(targets_of(F.col("html"))).alias("t"))
+    found = {r.page_id: r.w for r in links.select("page_id", resolved(F.col("t"), F.col("url")).alias("w")).collect()}
+    assert {p: found.get(p) for p, *_ in LINKS} == {p: w for p, _, _, w in LINKS}
+    columns = ["page_id", "host", "path", "rule", "verdict", "reason"]
+    ours = judge_urls(df, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    connection.executemany("INSERT INTO pages VALUES (?, ?, ?)", [p[:3] for p in LINKS])
+    theirs = connection.execute(f"SELECT {', '.join(columns)} FROM ({OP2})").fetchall()
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in ours.collect()))) == sorted(map(str, theirs))
+    assert {r.page_id for r in ours.filter("reason = 'alias' AND verdict = 'block'").collect()} == {4, 9, 13, 16}
+
+
+def test_rules_of_one_length(spark):
+    rules = spark.createDataFrame([("net", "/abcdefgh/", "block"), ("a.net", "/abcdef", "block"), ("b.a.net", "/abcd", "allow")], "host string, path string, verdict string")
+    df = spark.createDataFrame([(1, "http://b.a.net/abcdefgh/x", None)], "page_id long, url string, html string")
+    assert [(r.rule, r.verdict) for r in judge_urls(df, rules).collect()] == [("net/abcdefgh/", "block")]
+    even = rules.union(spark.createDataFrame([("b.a.net", "/abcdef", "allow")], rules.schema))
+    assert [(r.rule, r.verdict) for r in judge_urls(df, even).collect()] == [("b.a.net/abcdef", "allow")]
+
+
+def test_long_chains_and_wide_hubs(spark):
+    """A chain of a thousand redirects, a hub with a hundred thousand, and an allowed address inside a blocked class."""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    chain = spark.range(1000).selectExpr("concat('http://c', id, '.com/') AS source", "if(id = 999, 'http://end.net/', concat('http://c', id + 1, '.com/')) AS target")
+    hub = spark.range(100_000).selectExpr("concat('http://h', id, '.com/') AS source", "if(id = 7, 'http://end2.net/', 'http://hub.com/') AS target")
+    hub = hub.union(spark.sql("SELECT 'http://h7.com/', 'http://hub.com/'"))
+    inside = spark.createDataFrame([("http://i1.com/", "http://i2.net/"), ("http://i2.net/", "http://i3.org/fr/1")], "source string, target string")
+    pages = ["http://c0.com/", "http://c500.com/", "http://h0.com/", "http://h99999.com", "http://hub.com/", "http://i1.com/", "http://i2.net/", "http://other.com/"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string").withColumn("html", F.lit(None).cast("string"))
+    found = {r.page_id: (r.verdict, r.reason) for r in judge_urls(df, rules, chain.union(hub).union(inside)).collect()}
+    assert [found[i] for i in range(8)] == [("block", "alias")] * 5 + [("allow", "alias"), ("block", "rule"), ("allow", "none")]
