@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; each but the last
 returns the columns of ``documents``. Documents are told apart by ``doc_id``: rows without one are left
-out, and of rows that repeat one the near-duplicate stage keeps one. Null texts are empty texts.
+out, and of rows that repeat one the least, column by column, stands in the first two stages, whatever the order
+of rows. Null texts are empty texts. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -19,8 +20,19 @@ from clientela.llm.shared import ship, stored
 from clientela.llm.substring_dedup import remove_repeats
 
 
+def one_row_an_id(docs: DataFrame) -> DataFrame:
+    """The least row of each id; copies of an id are reduced where they are before they meet."""
+    known = docs.filter("doc_id IS NOT NULL")
+    if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return known
+    rest = [c for c in docs.columns if c != "doc_id"]
+    least = known.groupBy("doc_id").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("_row"))
+    return least.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`") for c in docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
+    docs = one_row_an_id(docs)
     kept = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select("doc_id")
     return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
 
@@ -28,10 +40,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each class linked by a similarity of 0.8 on five-word shingles."""
     ship(spark)
+    docs = one_row_an_id(docs)
     classes = stored(jaccard_classes(docs, width=5, threshold="0.8"))
-    kept = classes.filter("doc_id = component_id").groupBy("doc_id").count()
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    return out if kept.filter("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    return docs.join(classes.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
