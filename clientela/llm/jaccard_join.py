@@ -3,7 +3,8 @@
 Sets of word shingles are compared by size band. The hash universe is cut into segments; two sets
 of the required similarity differ in a bounded number of elements, so that some segment differs in
 none of them (whole subset indexed) or in at most one (subset and its one-deletion neighbourhood
-indexed). Which of the two, and how many segments, is settled per size band by cost. Shared
+indexed). Which of the two, and how many segments, is settled per size band by cost, with the chance
+of false agreement measured on a sample. Shared
 signatures give candidates, and every candidate that could join two classes is verified on the sets.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from fractions import Fraction
 
 import numpy as np
@@ -24,10 +25,15 @@ from clientela.llm.components import components
 from clientela.llm.shared import documents_of, slices, stored
 from clientela.llm.words import batch, mix, sets_of, signed, texts_of
 
-# assumed chance that two unrelated sets agree on one element of a segment, for the cost of candidates
+# chance that two unrelated sets agree on one element of a segment, where no sample says
 _AGREE = 0.1
-# cost of checking a candidate, in signatures written
-_CHECK_COST = 4.0
+# cost of a false candidate, a look at two sketches, in signatures written and sorted
+_CHECK_COST = 0.5
+# sets of a band, about, and signatures of each that its agreement is measured on; least elements that tell copies
+_SAMPLED, _SIGNATURES, _MINIMA = 128, 64, 4
+# signatures of a deletion index: so many, or so many for each element, at most. Sixteen bytes each would otherwise
+# outweigh the texts
+_DELETIONS, _DELETIONS_PER_ELEMENT = 64, 0.5
 
 
 @dataclass(frozen=True)
@@ -45,8 +51,13 @@ class Band:
     spare: int
 
 
-def plan_bands(largest: int, threshold: Fraction, sizes: dict[int, int]) -> list[Band]:
-    """Bands up to ``largest``; ``sizes`` has the number of sets by band and steers the allocation."""
+def plan_bands(largest: int, threshold: Fraction, sizes: dict[int, int], agree: dict[int, float] | None = None) -> list[Band]:
+    """Bands up to ``largest``.
+
+    ``sizes`` has the number of sets by band, ``agree`` the measured chance that unrelated sets of a band agree on a whole
+    segment. They steer the allocation: deletions double the elements of a segment, which squares that chance, at
+    the price of a signature for each element.
+    """
     bands, low = [], 1
     while low <= largest:
         high = int(low / threshold)
@@ -57,9 +68,10 @@ def plan_bands(largest: int, threshold: Fraction, sizes: dict[int, int]) -> list
             spare = math.ceil((differ + 1 + spare) * math.exp(-load) * 1.5) if load > 1 else 0
         whole, halves = differ + 1 + spare, (differ + 2) // 2
         n = sizes.get(len(bands), 0) + sizes.get(len(bands) + 1, 0)
-        whole_cost = whole * (1 + _CHECK_COST * n * _AGREE ** (high / whole))
-        halves_cost = halves + high + halves * _CHECK_COST * n * _AGREE ** (high / halves)
-        deletions = halves_cost < whole_cost
+        chance = (agree or {}).get(len(bands), _AGREE ** (high / whole))
+        whole_cost = whole * (1 + _CHECK_COST * n * chance)
+        halves_cost = halves + high + halves * _CHECK_COST * n * chance ** (whole / halves)
+        deletions = halves_cost < whole_cost and halves + high <= max(_DELETIONS, _DELETIONS_PER_ELEMENT * low)
         bands.append(Band(low, high, halves if deletions else whole, deletions, 0 if deletions else spare))
         low = high + 1
     return bands
@@ -134,6 +146,64 @@ def _signatures(width: int, bands: list[Band]):
     return run
 
 
+_SAMPLE = pa.schema([("band", pa.int32()), ("least", pa.binary()), ("sigs", pa.binary())])
+
+
+def _sample(width: int, bands: list[Band]):
+    """Least elements, and some signatures without deletions, of sets in each band that their size puts them in."""
+    lows = np.array([b.low for b in bands])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            rows = []
+            for s in sets_of(texts_of(part.column("text")), width):
+                if not len(s):
+                    continue
+                g = int(np.searchsorted(lows, len(s), "right")) - 1
+                sigs = signatures_of(s, g, replace(bands[g], deletions=False, spare=bands[g].segments))
+                # the same choice for every set, so that what agrees is chosen together
+                kept = sigs[sigs % np.uint64(-(-bands[g].segments // _SIGNATURES)) == 0]
+                rows.append((g, s[:_MINIMA].tobytes(), kept.tobytes()))
+            if rows:
+                yield batch(_SAMPLE, *zip(*rows))
+
+    return run
+
+
+def agreement(rows: list[tuple[int, bytes, bytes]], bands: list[Band]) -> dict[int, float]:
+    """By band, the chance that two unrelated sets of the sample agree on a segment; one more agreement is assumed.
+
+    Sets that share one of their least elements with a set before, as near copies do, are left out.
+    """
+    chances = {}
+    for band in {g for g, _, _ in rows}:
+        taken: set[bytes] = set()
+        sigs = []
+        for _, least, found in (r for r in rows if r[0] == band):
+            minima = {least[i : i + 8] for i in range(0, len(least), 8)}
+            if not minima & taken:
+                sigs.append(np.frombuffer(found, np.uint64))
+            taken |= minima
+        pairs = len(sigs) * (len(sigs) - 1) / 2
+        segments = sum(map(len, sigs)) / max(1, len(sigs))
+        if pairs >= 100 and segments >= 1:
+            times = np.unique(np.concatenate(sigs), return_counts=True)[1].astype(float)
+            chances[band] = min(1.0, (1 + (times * (times - 1) / 2).sum()) / (pairs * segments))
+    return chances
+
+
+def _measured(docs: DataFrame, members: DataFrame, width: int, threshold: Fraction, largest: int, sizes: dict[int, int]) -> dict[int, float]:
+    """:func:`agreement` of about ``_SAMPLED`` different sets of each band, chosen by a hash of the set."""
+    bands = plan_bands(largest, threshold, {})
+    one_in = F.lit(1)
+    for g, band in enumerate(bands):
+        one_in = F.when(F.col("n_shingles") >= band.low, max(1, sizes.get(g, 0) // _SAMPLED)).otherwise(one_in) if g else F.lit(max(1, sizes.get(0, 0) // _SAMPLED))
+    drawn = members.filter("n_shingles > 0").filter(F.pmod(F.xxhash64("k1", "k2"), one_in) == 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
+    found = docs.join(F.broadcast(stored(drawn.select("doc_id").distinct())), "doc_id", "left_semi").mapInArrow(_sample(width, bands), "band int, least binary, sigs binary")
+    # bounded by the number of bands, which is the logarithm of the largest set
+    return agreement([tuple(r) for r in found.collect()], bands)
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -214,7 +284,7 @@ def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8"
     for _, n, least in by_log:
         k = int(np.searchsorted(lows, least, "right")) - 1
         sizes[k] = sizes.get(k, 0) + n
-    bands = plan_bands(largest, limit, sizes)
+    bands = plan_bands(largest, limit, sizes, _measured(docs, members, width, limit, largest, sizes))
 
     copies = members.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("twin"))
     sigs = docs.mapInArrow(_signatures(width, bands), "sig long, doc_id long")
