@@ -22,7 +22,7 @@ from clientela.llm.shared import documents_of, slices
 
 SLICE = 2 << 20
 # bytes that one recursive query contracts and rows it may keep, and pieces after which a worker forgets
-QUERY_BYTES, QUERY_ROWS, REMEMBERED = 200_000, 6_000_000, 200_000
+QUERY_BYTES, QUERY_ROWS, REMEMBERED = 200_000, 6_000_000, 150_000
 # ids that one query decodes
 DECODED_IDS = 250_000
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
