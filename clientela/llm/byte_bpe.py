@@ -175,6 +175,18 @@ def _engine(content: bytes, pattern: str) -> _Engine:
     return _Engine(content, pattern)
 
 
+def _encoded(engine: _Engine, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text", SLICE):
+        ids = engine.encode(part.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids.cast(_ENCODED.field("ids").type)], schema=_ENCODED)
+
+
+def _decoded(engine: _Engine, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in batches:
+        ids = part.column("ids")
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(engine.decode(ids), pa.binary())], schema=_DECODED)
+
+
 def encode(documents: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """(doc_id, ids) of every row: the ids of its whole text, each match of ``pattern`` on its own.
 
@@ -183,10 +195,7 @@ def encode(documents: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = _engine(ranks, pattern)
-        for part in slices(batches, "text", SLICE):
-            ids = engine.encode(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids.cast(_ENCODED.field("ids").type)], schema=_ENCODED)
+        yield from _encoded(_engine(ranks, pattern), batches)
 
     return documents_of(documents).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -195,14 +204,24 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """Add ``decoded`` (binary) to (doc_id, ids); null or no ids decode to nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = _engine(ranks, pattern)
-        for part in batches:
-            ids = part.column("ids")
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(engine.decode(ids), pa.binary())], schema=_DECODED)
+        yield from _decoded(_engine(ranks, pattern), batches)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(documents: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded): :func:`decode` of what :func:`encode` gives, by one worker for each task.
+
+    Two steps in a row would be two workers at once, each with a DuckDB and the pieces it remembers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine = _engine(ranks, pattern)
+        yield from _decoded(engine, _encoded(engine, batches))
+
+    return documents_of(documents).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame, *further: str) -> DataFrame:
     """(doc_id, n_tokens, further columns, ids_sha256, decoded_sha256) of (doc_id, ids, decoded)."""
     return decoded.select(

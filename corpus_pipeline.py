@@ -64,8 +64,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): token ids, and proof that they decode."""
     ship(spark)
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(decoded, "ids")
+    return byte_bpe.digests(byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN), "ids")
 
 
 STAGES = [

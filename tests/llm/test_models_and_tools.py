@@ -73,6 +73,17 @@ def test_bpe_as_tiktoken(docs):
     assert byte_bpe.encode(docs([]), content, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_takes_one_worker_a_task(spark, docs):
+    """Encoding and decoding in a row were two Python workers a task, each with its own DuckDB and pieces."""
+    content = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    given = docs([None, "", "hello  world\n", "naïve 日本語 🙂", "it's 12345 " * 50, "hello  world\n"])
+    one = byte_bpe.round_trip(given, content, public_tokenizers.PATTERN)
+    two = byte_bpe.decode(byte_bpe.encode(given, content, public_tokenizers.PATTERN), content, public_tokenizers.PATTERN)
+    assert sorted(one.collect()) == sorted(two.collect())
+    for df in (queries.op6_byte_bpe(spark, TINY), corpus_pipeline.encoding(spark, given, TINY)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
 <div class="cookie-notice">We use cookies</div><nav><ul><li>a<li>b</ul></nav><div class="main-col"><h2>Head &amp; {0}</h2>
 <p>One <b>two</b>
