@@ -61,6 +61,10 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield batch(_COUNTS, used, total[used])
 
 
+# numbers of :func:`character_model`, as an array or, faster to look up one at a time, as lists of lists
+Characters = np.ndarray | list[list[list[float]]]
+
+
 def character_model(documents: DataFrame) -> np.ndarray:
     """Log probabilities of a symbol after two others, from all texts; 28**3 numbers in all."""
     rows = documents_of(documents).mapInArrow(_count_trigrams, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
@@ -91,19 +95,19 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def viterbi(steps: list[list[tuple[str, float]]], model: np.ndarray) -> str:
+def viterbi(steps: list[list[tuple[str, float]]], model: Characters) -> str:
     """The likeliest reading of a lattice; of equally likely ones the first in order of letters."""
     best = {(0, 0): (0.0, "")}
     for options in [*steps, [(" ", 0.0)]]:
         then: dict[tuple[int, int], tuple[float, str]] = {}
+        read = [(letters, price, [_symbol(c) for c in letters]) for letters, price in options]
         for (a, b), (cost, text) in best.items():
-            for letters, price in options:
+            for letters, price, symbols in read:
                 x, y, total = a, b, cost + price
-                for c in letters:
-                    s = _symbol(c)
+                for s in symbols:
                     if s == y == 0:
                         continue
-                    total -= model[x, y, s]
+                    total -= model[x][y][s]
                     x, y = y, s
                 entry = (total, text + letters)
                 if (x, y) not in then or entry < then[x, y]:
@@ -114,12 +118,16 @@ def viterbi(steps: list[list[tuple[str, float]]], model: np.ndarray) -> str:
 
 def needs_decoding(word: str) -> bool:
     """Whether a lattice of the word has more than one path worth weighing."""
+    if word.isalpha():
+        return bool(_RUN.search(word))  # letters are neither signs nor separators
     signs = sum(c in LEET for c in word)
     letters = sum(c.isalpha() for c in word)
     return bool(signs and 2 * letters >= signs or _RUN.search(word) or _SPACED.search(word))
 
 
 def trimmed(token: str) -> str:
+    if token.isalnum():
+        return token
     return _EDGE.sub("", _JUNK.sub("", token))
 
 
@@ -150,7 +158,7 @@ def words_of(text: str) -> set[str]:
     return out
 
 
-def restored(token: str, model: np.ndarray) -> str:
+def restored(token: str, model: Characters) -> str:
     """A token in lower case as it was probably meant; one with a single reading stays."""
     word = token if " " in token else trimmed(token)
     if " " in word or needs_decoding(word):
@@ -158,14 +166,22 @@ def restored(token: str, model: np.ndarray) -> str:
     return word
 
 
-def features_of(token: str, model: np.ndarray) -> list[str]:
+def readings(token: str, model: Characters) -> set[str]:
+    """Words of a token, as written and restored, of three letters or more."""
+    word = trimmed(token)
+    if word.isalpha() and " " not in token and not _RUN.search(word):
+        return {word} if len(word) > 2 else set()
+    return {w for w in (word, *restored(token, model).split()) if len(w) > 2}
+
+
+def stems(word: str) -> list[str]:
+    """A word and its heads; all begin with its first three letters."""
+    return [word, *(f"{word[:n]}…" for n in (4, 5, 6) if len(word) > n)]
+
+
+def features_of(token: str, model: Characters) -> list[str]:
     """Words of a token, as written and restored, and their heads, as stems."""
-    out = []
-    for word in {trimmed(token), *restored(token, model).split()}:
-        if len(word) > 2:
-            out.append(word)
-            out.extend(f"{word[:n]}…" for n in (4, 5, 6) if len(word) > n)
-    return out
+    return [f for word in readings(token, model) for f in stems(word)]
 
 
 @dataclass
@@ -185,7 +201,8 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("x", pa.float64())])
 
 def _features(characters: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached = lru_cache(REMEMBERED)(lambda t: features_of(t, characters))
+        model = characters.tolist()
+        cached = lru_cache(REMEMBERED)(lambda t: features_of(t, model))
         for part in slices(batches, "text", 1 << 20):
             ids, found = [], []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
@@ -200,11 +217,11 @@ def _features(characters: np.ndarray):
 def _sums(characters: np.ndarray, weights: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
+        model, heads = characters.tolist(), {f[:3] for f in weights}
 
         def weight(token: str) -> float:
-            w = max((weights.get(f, 0.0) for f in features_of(token, characters)), default=0.0)
-            known[token] = w
-            return w
+            """Of the heaviest feature; a word whose first letters no feature has is not looked up further."""
+            return max((max(weights.get(f, 0.0) for f in stems(word)) if word[:3] in heads else 0.0 for word in readings(token, model)), default=0.0)
 
         for part in slices(batches, "text"):
             xs = []
@@ -214,7 +231,7 @@ def _sums(characters: np.ndarray, weights: dict[str, float]):
                 found = words_of(text)
                 new = found.difference(known)
                 for t in new:
-                    weight(t)
+                    known[t] = weight(t)
                 xs.append(min(10.0, math.fsum(map(known.__getitem__, found))))
             yield batch(_SCORED, part.column("doc_id"), xs)
 

@@ -6,7 +6,9 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -145,6 +147,23 @@ def test_restored_spacing_and_doubling(spark):
     assert toxicity.restored("hello", model) == "hello"
 
 
+def test_plain_words_cost_little(monkeypatch):
+    """Words in one reading build no lattice, and those no feature begins like no stems; sums are those of all features."""
+    model = np.log(np.random.default_rng(3).dirichlet(np.ones(toxicity.SYMBOLS), (toxicity.SYMBOLS, toxicity.SYMBOLS)))
+    weights = {"idiot": 3.5, "idio…": 2.25, "moron": -1.5, "日本語": 2.0}
+    texts = ["plain words of letters", "1d10t and i.d.i.o.t or i d i o t", "Moron!", "morons", "日本語 x", "", "+ ,. ,!i", "a feebly noon"]
+    heaviest = lambda t: max((weights.get(f, 0.0) for f in toxicity.features_of(t, model)), default=0.0)
+    wanted = [min(10.0, math.fsum(map(heaviest, toxicity.words_of(t)))) for t in texts]
+    looked, read = [], []
+    stems, lattice = toxicity.stems, toxicity.lattice
+    monkeypatch.setattr(toxicity, "stems", lambda w: looked.append(w) or stems(w))
+    monkeypatch.setattr(toxicity, "lattice", lambda w: read.append(w) or lattice(w))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    (out,) = toxicity._sums(model, weights)(iter([rows]))
+    assert out.column("x").to_pylist() == wanted
+    assert {w[:3] for w in looked} <= {"idi", "mor", "日本語"} and not {"plain", "words", "morons"} & set(read)
+
+
 def test_models_without_labels_or_texts(spark, docs):
     none = spark.createDataFrame([], "doc_id long, label int")
     some = docs([None, "", "a few words", "a few words"])
