@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientela.llm.components import components
-from clientela.llm.shared import documents_of, slices, stored
+from clientela.llm.shared import documents_of, narrowed, release, removed, slices, stored
 from clientela.llm.words import batch, mix, sets_of, signed, texts_of
 
 # chance that two unrelated sets agree on one element of a segment, where no sample says
@@ -267,7 +267,7 @@ def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8"
     those are looked at, and compared where sizes and sketches do not rule a link out. So no link
     between classes is missed, and a large group of near copies costs a few comparisons each, not all pairs.
     """
-    limit = Fraction(threshold)
+    limit, spark = Fraction(threshold), documents.sparkSession
     docs = documents_of(documents)
     members = stored(docs.mapInArrow(_members(width), "doc_id long, n_shingles long, k1 long, k2 long"))
     lows, low, largest = [], 1, members.agg(F.max("n_shingles")).first()[0] or 0
@@ -289,56 +289,74 @@ def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8"
     copies = members.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("twin"))
     sigs = docs.mapInArrow(_signatures(width, bands), "sig long, doc_id long")
     order = Window.partitionBy("sig").orderBy("doc_id")
-    shared = stored(
+    first = stored(
         sigs.withColumn("before", F.lag("doc_id").over(order))
         .withColumn("after", F.lead("doc_id").over(order))
         .filter("before <> doc_id OR after <> doc_id")
         .select("sig", "doc_id")
     )
+    release(spark)  # the signatures that no other set has
     twins = stored(members.filter("n_shingles > 0").join(copies, ["k1", "k2"]).select("doc_id", "twin").distinct())
     # a document id whose rows have several sets has a twin for each
-    shared = shared.join(twins, "doc_id").select("sig", F.col("twin").alias("doc_id")).distinct()
+    shared = first.join(twins, "doc_id").select("sig", F.col("twin").alias("doc_id")).distinct()
     crowd = Window.partitionBy("sig")
     shared = stored(shared.withColumn("n", F.count("*").over(crowd)).filter("n > 1").select("sig", "doc_id"))
-    wanted = shared.select("doc_id").distinct()
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), _SET_DDL))
+    wanted = stored(shared.select("doc_id").distinct())
+    sets = stored(narrowed(docs, wanted, "doc_id").join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), _SET_DDL))
     marks = ["size", *[f"s{i}" for i in range(SKETCH)]]
     others = ["other_size", *[f"o{i}" for i in range(SKETCH)]]
-    shared = stored(shared.join(sets.select("doc_id", *marks), "doc_id"))
+    sketches = sets.select("doc_id", *marks)
+    removed(first, twins, wanted)
+    release(spark)
 
-    classes, links, checked = None, None, None
+    classes, links, checked, judgements = None, None, None, []
     for turn in range(chain_rounds + 1):
-        named = shared.withColumn("class", F.col("doc_id"))
-        if classes is not None:
+        if classes is None:
+            named = shared.withColumn("class", F.col("doc_id"))
+        else:
             named = shared.join(classes, F.col("doc_id") == F.col("node"), "left")
-            named = named.select("sig", "doc_id", *marks, F.coalesce("component", "doc_id").alias("class"))
-            named = _cross(named)
-        named = stored(named)
+            named = stored(_cross(named.select("sig", "doc_id", F.coalesce("component", "doc_id").alias("class"))))
         size = named.groupBy("sig", "class").count().groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
         left, rows = size.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
-        if not left:
-            break
-        last = turn == chain_rounds or left <= 2 * rows
-        if last:
-            other = named.select("sig", F.col("doc_id").alias("w"), F.col("class").alias("other"), *[F.col(a).alias(b) for a, b in zip(marks, others)])
-            pairs = named.join(other, "sig").filter("class < other").filter(_may_link(limit)).select("doc_id", "w")
-        else:
-            chain = Window.partitionBy("sig").orderBy(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
-            pairs = named.withColumn("w", F.lead("doc_id").over(chain)).withColumn("other", F.lead("class").over(chain))
-            pairs = pairs.withColumns({b: F.lead(a).over(chain) for a, b in zip(marks, others)})
-            pairs = pairs.filter("class <> other").filter(_may_link(limit)).select("doc_id", "w")
-        pairs = pairs.select(F.least("doc_id", "w").alias("u"), F.greatest("doc_id", "w").alias("v")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["u", "v"], "left_anti")
-        with_a = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("a")), "u")
-        with_b = with_a.join(sets.select(F.col("doc_id").alias("v"), F.col("elements").alias("b")), "v")
-        judged = stored(with_b.mapInArrow(_verify(limit), "u long, v long, linked boolean"))
-        found = judged.filter("linked").select("u", "v")
-        links = found if links is None else links.union(found)
-        checked = judged.select("u", "v") if checked is None else checked.union(judged.select("u", "v"))
-        classes = stored(components(links))
+        last = turn == chain_rounds or not left or left <= 2 * rows
+        if left:
+            few = not last or left <= 2 * rows
+            if not few:  # a look at the sketches inside the join, as the pairs may be too many for rows of their own
+                marked = named.join(sketches, "doc_id")
+                other = marked.select("sig", F.col("doc_id").alias("w"), F.col("class").alias("other"), *[F.col(a).alias(b) for a, b in zip(marks, others)])
+                pairs = marked.join(other, "sig").filter("class < other").filter(_may_link(limit)).select("doc_id", "w")
+            elif last:
+                other = named.select("sig", F.col("doc_id").alias("w"), F.col("class").alias("other"))
+                pairs = named.join(other, "sig").filter("class < other").select("doc_id", "w")
+            else:
+                chain = Window.partitionBy("sig").orderBy(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
+                pairs = named.withColumn("w", F.lead("doc_id").over(chain)).withColumn("other", F.lead("class").over(chain))
+                pairs = pairs.filter("class <> other").select("doc_id", "w")
+            pairs = pairs.select(F.least("doc_id", "w").alias("u"), F.greatest("doc_id", "w").alias("v")).distinct()
+            if checked is not None:
+                pairs = pairs.join(checked, ["u", "v"], "left_anti")
+            if few:
+                pairs = pairs.join(sketches.withColumnRenamed("doc_id", "u"), "u")
+                pairs = pairs.join(sketches.select(F.col("doc_id").alias("v"), *[F.col(a).alias(b) for a, b in zip(marks, others)]), "v")
+                pairs = pairs.filter(_may_link(limit)).select("u", "v")
+            pairs = stored(pairs)
+            asked = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+            elements = narrowed(sets.select("doc_id", "elements"), asked, "doc_id")
+            with_a = pairs.join(elements.select(F.col("doc_id").alias("u"), F.col("elements").alias("a")), "u")
+            with_b = with_a.join(elements.select(F.col("doc_id").alias("v"), F.col("elements").alias("b")), "v")
+            judged = stored(with_b.mapInArrow(_verify(limit), "u long, v long, linked boolean"))
+            judgements.append(judged)
+            found = judged.filter("linked").select("u", "v")
+            links = found if links is None else links.union(found)
+            checked = judged.select("u", "v") if checked is None else checked.union(judged.select("u", "v"))
+            before, classes = classes, stored(components(links))
+            removed(pairs, asked, *([before] if before is not None else []))
+        if turn:
+            removed(named)
+        release(spark)
         if last:
             break
+    removed(shared, sets, *judgements)
     out = members.join(copies, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("twin", "doc_id").alias("twin"))
     if classes is not None:
         out = out.join(classes, F.col("twin") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "twin").alias("twin"))

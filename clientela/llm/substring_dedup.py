@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientela.llm.shared import documents_of, slices, stored
+from clientela.llm.shared import documents_of, narrowed, release, removed, slices, stored
 from clientela.llm.words import Words, batch, mix, sequence_hashes, signed, texts_of, windows
 
 # bits of a sort key that hold a word's position; the others hold the head of the phrase's hash
@@ -200,14 +200,16 @@ def remove_repeats(documents: DataFrame, width: int = 50, gram: int = 8, rest: l
     # an anchor with several passages: their windows have to be compared one by one
     several = by_passage.groupBy("anchor").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("most").alias("b")).filter("n > 1 AND a < b")
     split = by_passage.join(several.select("anchor"), "anchor", "left_semi").select("passage", F.col("least").alias("doc_id")).distinct()
-    split = split.groupBy("doc_id").agg(F.collect_list("passage").alias("passages"))
-    opened = stored(plain.join(split, "doc_id").mapInArrow(_open_windows(width, gram), "w long, doc_id long").distinct())
+    split = stored(split.groupBy("doc_id").agg(F.collect_list("passage").alias("passages")))
+    opened = stored(narrowed(plain, split, "doc_id").join(split, "doc_id").mapInArrow(_open_windows(width, gram), "w long, doc_id long").distinct())
     least = opened.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("w", "least")
     ws = opened.join(least, "w").filter("doc_id > least").groupBy("doc_id").agg(F.collect_list("w").alias("ws"), F.collect_list("least").alias("w_docs"))
     recurring = by_passage.filter("least < most").select("anchor", "passage", "least")
     marks = found.join(recurring, ["anchor", "passage"]).filter("doc_id > least").select("doc_id", "passage", "least").distinct()
     marks = marks.groupBy("doc_id").agg(F.collect_list("passage").alias("passages"), F.collect_list("least").alias("passage_docs"))
-    marks = marks.join(ws, "doc_id", "full")
+    marks = stored(marks.join(ws, "doc_id", "full"))
+    removed(found, by_passage, split, opened)
+    release(documents.sparkSession)
     ddl = "doc_id long, text string, n_words long, n_removed long, spans array<struct<first:long,end:long>>"
     if rest:
         ddl += f", rest {docs.schema['rest'].dataType.simpleString()}"

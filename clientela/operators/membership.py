@@ -22,9 +22,17 @@ def key_sketch(keys: DataFrame, key: str) -> DataFrame:
     return keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
+def surely_out(rows: DataFrame, key: str, sketch: DataFrame) -> DataFrame:
+    """The rows that :func:`perhaps_in` leaves out: none of them has a key in the list, all without a key are here."""
+    place = _place(key)
+    looked_up = F.broadcast(sketch.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))
+    found = rows.join(looked_up, F.col(key).isNotNull() & (F.shiftright(place, 6) == F.col("_word")), "left")
+    return found.filter(F.coalesce(F.getbit("_bits", (place % 64).cast("int")), F.lit(0)) == 0).select(*rows.columns)
+
+
 def perhaps_in(rows: DataFrame, key: str, sketch: DataFrame) -> DataFrame:
     """Rows whose key may be in the list of ``sketch``: all that are in it, and few others."""
     place = _place(key)
     looked_up = F.broadcast(sketch.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))
-    found = rows.join(looked_up, F.shiftright(place, 6) == F.col("_word"))
+    found = rows.join(looked_up, F.col(key).isNotNull() & (F.shiftright(place, 6) == F.col("_word")))
     return found.filter(F.getbit("_bits", (place % 64).cast("int")) == 1).select(*rows.columns)

@@ -16,7 +16,7 @@ from clientela.llm import byte_bpe
 from clientela.llm.decontamination import contaminated
 from clientela.llm.jaccard_join import jaccard_classes
 from clientela.llm.quality_rules import judge
-from clientela.llm.shared import ship, stored
+from clientela.llm.shared import release, ship, stored, without
 from clientela.llm.substring_dedup import remove_repeats
 
 
@@ -41,8 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of smallest id of each class linked by a similarity of 0.8 on five-word shingles."""
     ship(spark)
     docs = one_row_an_id(docs)
-    classes = stored(jaccard_classes(docs, width=5, threshold="0.8"))
-    return docs.join(classes.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    copies = stored(jaccard_classes(docs, width=5, threshold="0.8").filter("doc_id <> component_id").select("doc_id"))
+    release(spark)
+    return without(docs, copies, "doc_id")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +57,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = stored(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
+    release(spark)
+    return without(docs, found, "doc_id")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
