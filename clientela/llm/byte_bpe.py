@@ -8,7 +8,6 @@ from __future__ import annotations
 import base64
 import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -18,11 +17,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientela.llm.shared import documents_of, slices
+from clientela.llm.shared import documents_of, held, slices
 
 SLICE = 2 << 20
 # bytes that one recursive query contracts and rows it may keep, and pieces after which a worker forgets
-QUERY_BYTES, QUERY_ROWS, REMEMBERED = 200_000, 6_000_000, 150_000
+QUERY_BYTES, QUERY_ROWS, REMEMBERED = 200_000, 6_000_000, 400_000
 # ids that one query decodes
 DECODED_IDS = 250_000
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -57,7 +56,7 @@ ORDER BY k
 """
 DECODE = """
 SELECT d, string_agg(text, '' ORDER BY pos) AS text
-FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM docs) JOIN vocabulary USING (id)
+FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1)::INTEGER AS pos FROM docs) JOIN vocabulary USING (id)
 GROUP BY d
 """
 
@@ -145,6 +144,10 @@ class _Engine:
         encoded = [b"".join(map(self.known.__getitem__, pieces)) for pieces in found]
         return _lists([len(e) // 4 for e in encoded], np.frombuffer(b"".join(encoded), np.int32))
 
+    def rest(self) -> None:
+        """Forget what was met longest ago: the worker may wait beside those of other stages."""
+        self.before = {}
+
     def decode(self, ids: pa.Array) -> list[bytes]:
         """Bytes of each list of ids; a query takes a bounded number of ids, of long lists a range at a time."""
         sizes, values = pa.compute.list_value_length(ids).fill_null(0).to_pylist(), np.asarray(ids.flatten())
@@ -170,13 +173,12 @@ class _Engine:
         return [b"".join(parts) for parts in out]
 
 
-@lru_cache(maxsize=1)
 def _engine(content: bytes, pattern: str) -> _Engine:
-    return _Engine(content, pattern)
+    return held((content, pattern), lambda: _Engine(content, pattern))
 
 
 def _encoded(engine: _Engine, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text", SLICE):
+    for part in slices(batches, "text", SLICE, keep=True):
         ids = engine.encode(part.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids.cast(_ENCODED.field("ids").type)], schema=_ENCODED)
 
@@ -195,7 +197,9 @@ def encode(documents: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _encoded(_engine(ranks, pattern), batches)
+        engine = _engine(ranks, pattern)
+        yield from _encoded(engine, batches)
+        engine.rest()
 
     return documents_of(documents).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -218,6 +222,7 @@ def round_trip(documents: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = _engine(ranks, pattern)
         yield from _decoded(engine, _encoded(engine, batches))
+        engine.rest()
 
     return documents_of(documents).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
