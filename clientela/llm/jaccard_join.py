@@ -253,6 +253,29 @@ def _cross(members: DataFrame) -> DataFrame:
     return members.join(spans.select("sig"), "sig", "left_semi")
 
 
+def _crowds(members: DataFrame) -> DataFrame:
+    """(sig, doc_id, class): members of signatures with the same least class as one group, in which each pair stands once.
+
+    Texts that share many signatures would be looked at once for each. Where the group has more pairs across classes
+    than its signatures together, as about a text that shares one with each of many others, these stay as they are.
+    """
+
+    def across(rows: DataFrame, key: str, *more) -> DataFrame:
+        sizes = rows.groupBy(key, "class").agg(F.count("*").cast("double").alias("n"))
+        return sizes.groupBy(key).agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), *more)
+
+    spans = stored(across(members, "sig", F.min("class").alias("crowd")))
+    named = stored(members.join(spans.select("sig", "crowd"), "sig"))
+    once = named.select("crowd", "doc_id", "class").distinct()
+    apart = spans.groupBy("crowd").agg(F.sum("pairs").alias("apart"))
+    fewer = stored(across(once, "crowd").join(apart, "crowd").filter("pairs < apart").select("crowd"))
+    rest = named.join(fewer, "crowd", "left_anti").select("sig", "doc_id", "class")
+    # a crowd's number may be a signature as well: that adds pairs and loses none
+    out = stored(once.join(fewer, "crowd", "left_semi").select(F.col("crowd").alias("sig"), "doc_id", "class").union(rest))
+    removed(spans, named, fewer)
+    return out
+
+
 def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8", chain_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id): classes of documents linked at ``threshold`` or more.
 
@@ -264,7 +287,7 @@ def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8"
 
     Equal sets are one set for the join. Sets that share a signature are compared along chains over
     random orders, ``chain_rounds`` times or until few pairs across classes are left; then all of
-    those are looked at, and compared where sizes and sketches do not rule a link out. So no link
+    those are looked at, once for many shared signatures, and compared where sizes and sketches do not rule a link out. So no link
     between classes is missed, and a large group of near copies costs a few comparisons each, not all pairs.
     """
     limit, spark = Fraction(threshold), documents.sparkSession
@@ -321,13 +344,14 @@ def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8"
         last = turn == chain_rounds or not left or left <= 2 * rows
         if left:
             few = not last or left <= 2 * rows
+            crowds = _crowds(named) if last else None
             if not few:  # a look at the sketches inside the join, as the pairs may be too many for rows of their own
-                marked = named.join(sketches, "doc_id")
+                marked = crowds.join(sketches, "doc_id")
                 other = marked.select("sig", F.col("doc_id").alias("w"), F.col("class").alias("other"), *[F.col(a).alias(b) for a, b in zip(marks, others)])
                 pairs = marked.join(other, "sig").filter("class < other").filter(_may_link(limit)).select("doc_id", "w")
             elif last:
-                other = named.select("sig", F.col("doc_id").alias("w"), F.col("class").alias("other"))
-                pairs = named.join(other, "sig").filter("class < other").select("doc_id", "w")
+                other = crowds.select("sig", F.col("doc_id").alias("w"), F.col("class").alias("other"))
+                pairs = crowds.join(other, "sig").filter("class < other").select("doc_id", "w")
             else:
                 chain = Window.partitionBy("sig").orderBy(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
                 pairs = named.withColumn("w", F.lead("doc_id").over(chain)).withColumn("other", F.lead("class").over(chain))
@@ -350,7 +374,7 @@ def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8"
             links = found if links is None else links.union(found)
             checked = judged.select("u", "v") if checked is None else checked.union(judged.select("u", "v"))
             before, classes = classes, stored(components(links))
-            removed(pairs, asked, *([before] if before is not None else []))
+            removed(pairs, asked, *(table for table in (before, crowds) if table is not None))
         if turn:
             removed(named)
         release(spark)

@@ -55,6 +55,29 @@ def test_classes(docs, width, threshold, share):
     assert [found[i + 1] for i in range(len(texts))] == classes(texts, width, share)
 
 
+def test_pairs_of_many_shared_signatures_are_looked_at_once(spark):
+    """Forty texts share most of thirty signatures; a hub shares one with each of forty others, which share none."""
+    alike = [(1000 + s, i, i) for s in range(30) for i in range(1, 41) if (i * s) % 7]
+    hub = [(2000 + i, d, d) for i in range(40) for d in (101, 200 + i)]
+    members = spark.createDataFrame(alike + hub, "sig long, doc_id long, class long")
+
+    def pairs(rows):
+        other = rows.selectExpr("sig", "doc_id AS w", "class AS other")
+        return [tuple(r) for r in rows.join(other, "sig").filter("class < other").select("doc_id", "w").collect()]
+
+    before, after = pairs(members), pairs(J._crowds(members))
+    assert set(before) <= set(after) and len(before) > 10 * 40 * 39 / 2
+    assert len(after) <= 40 * 39 / 2 + 40 and all(u == 101 for u, v in after if v >= 200)
+
+
+def test_classes_without_chains(docs):
+    """All pairs are left to the last look."""
+    rng = random.Random(6)
+    texts = [t for _ in range(3) for t in near_copies(rng, 40, 14)] + near_copies(rng, 10, 40, 700)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_classes(docs(texts), 5, "0.8", 0).collect()}
+    assert [found[i + 1] for i in range(len(texts))] == classes(texts, 5, 80)
+
+
 def test_repeated_rows_and_empty_tables(docs):
     rows = J.jaccard_classes(docs(["a b c d", "a b c d", "x"], ids=[7, 7, 3]), 3, "0.9").collect()
     assert sorted((r.doc_id, r.component_id) for r in rows) == [(3, 3), (7, 7), (7, 7)]
