@@ -98,23 +98,28 @@ def signatures_of(elements: np.ndarray, index: int, band: Band) -> np.ndarray:
     return mix(whole ^ place)
 
 
-_MEMBER = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+# numbers of 64 bits in a sketch; cells of a wide one for each element that a linked pair may differ in, at least
+SKETCH, _CELLS = 8, 3
+_LONGS = ["n_shingles", "k1", "k2", *[f"s{i}" for i in range(SKETCH)]]
+_MEMBER = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in _LONGS], ("wide", pa.binary())])
+_MEMBER_DDL = "doc_id long, " + ", ".join(f"{c} long" for c in _LONGS) + ", wide binary"
 _SIGNATURE = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
-# numbers of 64 bits in a sketch
-SKETCH = 8
-_SET = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), *[(f"s{i}", pa.int64()) for i in range(SKETCH)], ("elements", pa.binary())])
-_SET_DDL = "doc_id long, size long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", elements binary"
+_SET = pa.schema([("doc_id", pa.int64()), ("elements", pa.binary())])
 
 
-def _members(width: int):
+def _members(width: int, limit: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            sizes, keys = [], []
+            sizes, keys, marks, wide = [], [], [], []
             for s in sets_of(texts_of(part.column("text")), width):
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                words = words_of(len(s), limit)
+                sketch = sketch_of(s, words)
+                marks.append(folded(sketch, SKETCH))
+                wide.append(sketch.tobytes() if words > SKETCH else None)
             k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            yield batch(_MEMBER, part.column("doc_id"), sizes, k[:, 0], k[:, 1])
+            yield batch(_MEMBER, part.column("doc_id"), sizes, *k.T, *np.array(marks).view(np.int64).T, wide)
 
     return run
 
@@ -207,23 +212,37 @@ def _measured(docs: DataFrame, members: DataFrame, width: int, threshold: Fracti
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            made = list(sets_of(texts_of(part.column("text")), width))
-            sketches = np.array([sketch_of(s) for s in made]).view(np.int64)
-            yield batch(_SET, part.column("doc_id"), [len(s) for s in made], *sketches.T, [s.tobytes() for s in made])
+            yield batch(_SET, part.column("doc_id"), [s.tobytes() for s in sets_of(texts_of(part.column("text")), width)])
 
     return run
 
 
-def sketch_of(elements: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of elements in ``64 * SKETCH`` cells.
+def sketch_of(elements: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """Parities of the numbers of elements in ``64 * words`` cells.
 
     Each element that one of two sets has alone changes one bit: they differ in as many elements, at
     least, as their sketches in bits.
     """
-    cells = np.bincount((mix(elements) >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH)
+    cells = np.bincount((mix(elements) >> np.uint64(32)).astype(np.int64) % (64 * words), minlength=64 * words)
     return np.packbits((cells & 1).astype(np.uint8)).view(np.uint64)
 
 
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set in ``words`` numbers, its own times a power of two."""
+    while len(sketch) > words:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
+
+
+def words_of(size: int, limit: Fraction) -> int:
+    """Numbers in the sketch of a set. Unrelated sets differ in half of the cells at most: with too few, nothing is ruled out."""
+    words, differ = SKETCH, 2 * size * (limit.denominator - limit.numerator) // (limit.denominator + limit.numerator)
+    while 64 * words < _CELLS * differ:
+        words *= 2
+    return words
+
+
 def _may_link(limit: Fraction) -> str:
     """Condition on sizes and sketches of two sets that every linked pair fulfils."""
     top, low = limit.numerator, limit.denominator
@@ -231,6 +250,27 @@ def _may_link(limit: Fraction) -> str:
     return f"{low} * least(size, other_size) >= {top} * greatest(size, other_size) AND {low + top} * ({bits}) <= {low - top} * (size + other_size)"
 
 
+def _may_link_widely(limit: Fraction):
+    """Pairs but those of which both sets have a wide sketch, and these rule a link out."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    top, low = limit.numerator, limit.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            kept = []
+            for n, a, b in zip(part.column("sizes").to_pylist(), part.column("a"), part.column("b")):
+                if not (a.is_valid and b.is_valid):
+                    kept.append(True)
+                    continue
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                words = min(len(x), len(y))
+                bits = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+                kept.append((low + top) * bits <= (low - top) * n)
+            yield batch(schema, part.column("u"), part.column("v")).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
 def _verify(threshold: Fraction):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_())])
     top, low = threshold.numerator, threshold.denominator
@@ -276,6 +316,12 @@ def _crowds(members: DataFrame) -> DataFrame:
     return out
 
 
+def _pairs_and_rows(members: DataFrame) -> tuple[float, int]:
+    """Pairs across classes that share a signature, for each that they share, and rows."""
+    size = members.groupBy("sig", "class").count().groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
+    return size.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
+
+
 def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8", chain_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id): classes of documents linked at ``threshold`` or more.
 
@@ -292,7 +338,7 @@ def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8"
     """
     limit, spark = Fraction(threshold), documents.sparkSession
     docs = documents_of(documents)
-    members = stored(docs.mapInArrow(_members(width), "doc_id long, n_shingles long, k1 long, k2 long"))
+    members = stored(docs.mapInArrow(_members(width, limit), _MEMBER_DDL))
     lows, low, largest = [], 1, members.agg(F.max("n_shingles")).first()[0] or 0
     while low <= largest:
         lows.append(low)
@@ -310,7 +356,8 @@ def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8"
     bands = plan_bands(largest, limit, sizes, _measured(docs, members, width, limit, largest, sizes))
 
     copies = members.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("twin"))
-    sigs = docs.mapInArrow(_signatures(width, bands), "sig long, doc_id long")
+    standing = stored(copies.select(F.col("twin").alias("doc_id")).distinct())  # other copies' signatures would be shuffled in vain
+    sigs = narrowed(docs, standing, "doc_id").mapInArrow(_signatures(width, bands), "sig long, doc_id long")
     order = Window.partitionBy("sig").orderBy("doc_id")
     first = stored(
         sigs.withColumn("before", F.lag("doc_id").over(order))
@@ -325,11 +372,12 @@ def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8"
     crowd = Window.partitionBy("sig")
     shared = stored(shared.withColumn("n", F.count("*").over(crowd)).filter("n > 1").select("sig", "doc_id"))
     wanted = stored(shared.select("doc_id").distinct())
-    sets = stored(narrowed(docs, wanted, "doc_id").join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), _SET_DDL))
     marks = ["size", *[f"s{i}" for i in range(SKETCH)]]
     others = ["other_size", *[f"o{i}" for i in range(SKETCH)]]
-    sketches = sets.select("doc_id", *marks)
-    removed(first, twins, wanted)
+    # of rows that repeat one; an id may have several sets
+    looks = stored(members.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "k1", "k2"]).withColumnRenamed("n_shingles", "size").select("doc_id", *marks, "wide"))
+    sketches = looks.select("doc_id", *marks)
+    removed(standing, first, twins, wanted)
     release(spark)
 
     classes, links, checked, judgements = None, None, None, []
@@ -339,12 +387,14 @@ def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8"
         else:
             named = shared.join(classes, F.col("doc_id") == F.col("node"), "left")
             named = stored(_cross(named.select("sig", "doc_id", F.coalesce("component", "doc_id").alias("class"))))
-        size = named.groupBy("sig", "class").count().groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
-        left, rows = size.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
+        left, rows = _pairs_and_rows(named)
         last = turn == chain_rounds or not left or left <= 2 * rows
         if left:
-            few = not last or left <= 2 * rows
             crowds = _crowds(named) if last else None
+            few = True
+            if last:
+                together, rows = _pairs_and_rows(crowds)
+                few = together <= rows
             if not few:  # a look at the sketches inside the join, as the pairs may be too many for rows of their own
                 marked = crowds.join(sketches, "doc_id")
                 other = marked.select("sig", F.col("doc_id").alias("w"), F.col("class").alias("other"), *[F.col(a).alias(b) for a, b in zip(marks, others)])
@@ -363,24 +413,30 @@ def jaccard_classes(documents: DataFrame, width: int = 5, threshold: str = "0.8"
                 pairs = pairs.join(sketches.withColumnRenamed("doc_id", "u"), "u")
                 pairs = pairs.join(sketches.select(F.col("doc_id").alias("v"), *[F.col(a).alias(b) for a, b in zip(marks, others)]), "v")
                 pairs = pairs.filter(_may_link(limit)).select("u", "v")
-            pairs = stored(pairs)
+            # in long sets the sketches above rule nothing out, and pairs of these grow with the square of the rows
+            for side, name in (("u", "a"), ("v", "b")):
+                pairs = pairs.join(looks.select(F.col("doc_id").alias(side), F.col("size").alias(f"size_{name}"), F.col("wide").alias(name)), side)
+            pairs = pairs.select("u", "v", (F.col("size_a") + F.col("size_b")).alias("sizes"), "a", "b")
+            pairs = stored(pairs.mapInArrow(_may_link_widely(limit), "u long, v long"))
             asked = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-            elements = narrowed(sets.select("doc_id", "elements"), asked, "doc_id")
-            with_a = pairs.join(elements.select(F.col("doc_id").alias("u"), F.col("elements").alias("a")), "u")
-            with_b = with_a.join(elements.select(F.col("doc_id").alias("v"), F.col("elements").alias("b")), "v")
+            release(spark)
+            # elements outweigh the texts: only those of sets that are compared now
+            sets = stored(narrowed(docs, asked, "doc_id").join(asked, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, elements binary"))
+            with_a = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("a")), "u")
+            with_b = with_a.join(sets.select(F.col("doc_id").alias("v"), F.col("elements").alias("b")), "v")
             judged = stored(with_b.mapInArrow(_verify(limit), "u long, v long, linked boolean"))
             judgements.append(judged)
             found = judged.filter("linked").select("u", "v")
             links = found if links is None else links.union(found)
             checked = judged.select("u", "v") if checked is None else checked.union(judged.select("u", "v"))
             before, classes = classes, stored(components(links))
-            removed(pairs, asked, *(table for table in (before, crowds) if table is not None))
+            removed(pairs, asked, sets, *(table for table in (before, crowds) if table is not None))
         if turn:
             removed(named)
         release(spark)
         if last:
             break
-    removed(shared, sets, *judgements)
+    removed(shared, looks, *judgements)
     out = members.join(copies, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("twin", "doc_id").alias("twin"))
     if classes is not None:
         out = out.join(classes, F.col("twin") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "twin").alias("twin"))

@@ -114,6 +114,52 @@ def test_sketch_never_overstates():
     assert 0 < bits <= len(np.setxor1d(a, b))
 
 
+def test_wide_sketch_folds_and_never_overstates():
+    rng = np.random.default_rng(7)
+    limit = J.Fraction("0.8")
+    assert J.words_of(0, limit) == J.words_of(700, limit) == J.SKETCH < J.words_of(3000, limit) < J.words_of(90_000, limit)
+    a = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64))
+    b = np.unique(np.concatenate((a[400:], rng.integers(0, 2**63, 300, dtype=np.uint64))))
+    wide = J.sketch_of(a, 8 * J.SKETCH)
+    for words in (J.SKETCH, 2 * J.SKETCH, 8 * J.SKETCH):
+        assert (J.folded(wide, words) == J.sketch_of(a, words)).all()
+        bits = int(np.bitwise_count(J.folded(wide, words) ^ J.sketch_of(b, words)).sum())
+        assert 0 < bits <= len(np.setxor1d(a, b))
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Rows of the working tables that the join has written, by their columns."""
+    rows, real = {}, J.stored
+
+    def stored(df, *by):
+        out = real(df, *by)
+        key = tuple(out.columns)
+        rows[key] = rows.get(key, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(J, "stored", stored)
+    return rows
+
+
+def test_long_texts_that_share_a_passage_are_not_compared(docs, written):
+    """Forty of them share signatures, which makes hundreds of pairs; only near copies are worth their elements."""
+    rng = random.Random(8)
+    passage = [rng.choice(WORDS) for _ in range(300)]
+    texts = [" ".join([str(rng.randrange(10**6)) for _ in range(3000)] + passage) for _ in range(40)]
+    texts += near_copies(rng, 3, 4, 3000)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_classes(docs(texts), 5, "0.8").collect()}
+    assert [found[i + 1] for i in range(len(texts))] == classes(texts, 5, 80)
+    assert 2 <= written["u", "v", "linked"] <= 6
+    assert written["doc_id", "elements"] <= 9
+
+
+def test_copies_of_a_text_write_no_signatures(docs, written):
+    copies = docs(near_copies(random.Random(9), 1, 0, 300) * 60).repartition(6)
+    assert {r.component_id for r in J.jaccard_classes(copies, 5, "0.8").collect()} == {1}
+    assert written["sig", "doc_id"] == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (200, 200), (None, 3)]
     found = {r.node: r.component for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
